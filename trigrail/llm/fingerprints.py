@@ -5,12 +5,14 @@ slice of documents: their ids, how many fingerprints each has there, which of th
 the slice (a bit each), and eight bytes for each distinct one. A hot fingerprint so leaves a slice
 once. A bucket is chosen by a hash independent of the fingerprint, and buckets hold a bounded number
 of fingerprints, so that their number, and with it the effective width (64 bits and the bucket's),
-grows with the corpus. Flags return by document and bucket, in the order of the document's fingerprints.
+grows with the corpus. What returns are flags in the order of a document's fingerprints, one row for each
+bucket and share of the documents; a share's flags then meet its texts in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ from trigrail.llm import text as tx
 #: Fingerprints in a bucket, about; and in a slice of documents.
 BUCKET, SLICE = 2_000_000, 2_000_000
 PACKED = "bucket int, docs binary, counts binary, repeats binary, prints binary"
-FLAGS = "doc_id long, bucket int, flags binary"
+#: Bytes of text in a share of documents, about.
+SHARE = 8 << 20
+FLAGS = "share long, bucket int, docs binary, counts binary, flags binary"
 
 #: From (bytes, offsets) of texts: (prints, bounds by text, salt hashes that choose the bucket).
 Prints = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -36,6 +40,14 @@ def buckets_for(prints: float) -> int:
     return max(24, int(prints // BUCKET) + 1)
 
 
+def shares_for(size: float) -> int:
+    """A prime number of shares, so that ids in regular strides spread too."""
+    n = max(53, int(size // SHARE) + 1)
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def first_of_equal(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is the first of its equals, has equals), for values in their order of precedence."""
     order = np.argsort(values, kind="stable")
@@ -100,7 +112,7 @@ def packed(docs: DataFrame, prints: Prints, buckets: int, earlier: bool) -> Data
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(pack, PACKED)
 
 
-def _resolve(table: pa.Table, earlier: bool) -> pa.Table:
+def _resolve(table: pa.Table, earlier: bool, shares: int) -> pa.Table:
     got: list[tuple] = []
     for r in table.to_batches():
         for docs, counts, repeats, prints in zip(*(r.column(n) for n in ("docs", "counts", "repeats", "prints")), strict=True):
@@ -114,45 +126,70 @@ def _resolve(table: pa.Table, earlier: bool) -> pa.Table:
     first, shared = first_of_equal(prints[order])
     flag = np.empty(len(prints), bool)
     flag[order] = ~first if earlier else shared
-    out_id, out_flags, lo = [], [], 0
+    out: list[tuple] = []
+    lo = 0
     for i, n, b, p in got:
         total = int(n.sum())
         repeat = b[:total]
         flags = repeat.copy() if earlier else b[total:].copy()
         flags[~repeat] |= flag[lo : lo + len(p)]
-        if not earlier and len(p) < total:
+        if not earlier:
             flags[repeat] = True
         lo += len(p)
-        ends = np.cumsum(n)
-        some = np.add.reduceat(flags, ends - n) > 0 if total else []
-        for k in np.flatnonzero(some):
-            out_id.append(int(i[k]))
-            out_flags.append(np.packbits(flags[ends[k] - n[k] : ends[k]]).tobytes())
+        some = np.add.reduceat(flags, np.cumsum(n) - n) > 0
+        if some.any():
+            out.append((i[some], n[some], flags[np.repeat(some, n)]))
     bucket = table.column("bucket")[0].as_py()
-    return pa.table({"doc_id": pa.array(out_id, pa.int64()), "bucket": pa.array([bucket] * len(out_id), pa.int32()), "flags": pa.array(out_flags, pa.binary())})
+    rows = []
+    if out:
+        ids, n, flags = (np.concatenate(x) for x in zip(*out, strict=True))
+        share = ids % shares
+        for s in np.unique(share).tolist():
+            at = share == s
+            rows.append({"share": s, "bucket": bucket, "docs": ids[at].astype("<i8").tobytes(), "counts": n[at].astype("<u4").tobytes(), "flags": np.packbits(flags[np.repeat(at, n)]).tobytes()})
+    return pa.Table.from_pylist(rows, pa.schema([("share", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("flags", pa.binary())]))
 
 
-def repeated(docs: DataFrame, prints: Prints, total: float, *, earlier: bool) -> tuple[DataFrame, int]:
+def repeated(docs: DataFrame, prints: Prints, total: float, size: float, *, earlier: bool) -> tuple[DataFrame, int, int]:
     """Flags of the fingerprints that occur elsewhere (earlier: at a smaller doc_id, or before in the document).
 
-    docs: doc_id, text; doc_id unique. total: about how many fingerprints there are. Returns
-    (doc_id, bucket, flags), only rows with a set flag, and the number of buckets.
+    docs: doc_id, text; doc_id unique. total: about how many fingerprints there are; size: bytes of
+    text. Returns FLAGS, with rows only for documents with a set flag, and the numbers of buckets and shares.
     """
-    buckets = buckets_for(total)
+    buckets, shares = buckets_for(total), shares_for(size)
     rows = packed(docs, prints, buckets, earlier)
-    flags = rows.groupBy("bucket").applyInArrow(lambda t: _resolve(t, earlier), FLAGS)
-    return flags, buckets
+    return rows.groupBy("bucket").applyInArrow(lambda t: _resolve(t, earlier, shares), FLAGS), buckets, shares
+
+
+def flagged(flags: DataFrame) -> DataFrame:
+    """doc_id of the documents with a flag."""
+
+    def ids(table: pa.Table) -> pa.Table:
+        some = [np.frombuffer(x.as_py(), "<i8") for x in table.column("docs")]
+        return pa.table({"doc_id": pa.array(np.unique(np.concatenate(some)), pa.int64())})
+
+    return flags.select("share", "docs").groupBy("share").applyInArrow(ids, "doc_id long")
+
+
+def share_of(shares: int):
+    return F.pmod(F.col("doc_id"), F.lit(shares).cast("long"))
 
 
-def by_document(flags: DataFrame) -> DataFrame:
-    """One row a document: marks = list of (bucket, flags)."""
-    return flags.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "flags")).alias("marks"))
+class Marks:
+    """A share's flags by document."""
 
+    def __init__(self, table: pa.Table):
+        self.of: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for bucket, docs, counts, flags in zip(*(table.column(c).to_pylist() for c in ("bucket", "docs", "counts", "flags")), strict=True):
+            n = np.frombuffer(counts, "<u4").astype(np.int64)
+            bits = np.unpackbits(np.frombuffer(flags, np.uint8), count=int(n.sum())).astype(bool)
+            cut = np.concatenate(([0], np.cumsum(n))).tolist()
+            for doc, (a, b) in zip(np.frombuffer(docs, "<i8").tolist(), pairwise(cut), strict=True):
+                self.of.setdefault(doc, []).append((bucket, bits[a:b]))
 
-def unpack(marks: list, bucket: np.ndarray) -> np.ndarray:
-    """The flags of one document's fingerprints, in their order; bucket: of each fingerprint."""
-    out = np.zeros(len(bucket), bool)
-    for m in marks or ():
-        at = np.flatnonzero(bucket == m["bucket"])
-        out[at] = np.unpackbits(np.frombuffer(m["flags"], np.uint8), count=len(at)).astype(bool)
-    return out
+    def flags(self, doc: int, bucket: np.ndarray) -> np.ndarray:
+        """The flags of a document's fingerprints, in their order; bucket: of each fingerprint."""
+        out = np.zeros(len(bucket), bool)
+        for b, bits in self.of.get(doc, ()):
+            out[bucket == b] = bits
+        return out

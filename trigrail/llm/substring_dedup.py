@@ -40,36 +40,31 @@ def _windows(size: int) -> fp.Prints:
     return prints
 
 
-def _cut(size: int, buckets: int, texts: bool):
-    """Removes the words that flagged windows cover; batches are doc_id, text and, if flagged, marks."""
-    prints = _windows(size)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = tx.buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            marks = batch.column(2) if batch.num_columns > 2 else None
-            for i, j in tx.steps(offs):
-                part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                start, end, bounds = tx.words(part, o)
-                raw = part.tobytes()
-                if marks is not None:
-                    _, pb, salt = prints(part, o)
-                    bucket = fp.bucket_of(salt, buckets)
-                out: list[list] = [[] for _ in schema]
-                for k in range(j - i):
-                    s, e = start[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]]
-                    gone = np.zeros(len(s), bool)
-                    if marks is not None:
-                        gone = tx.covered(fp.unpack(marks[i + k].as_py(), bucket[pb[k] : pb[k + 1]]), size, len(s))
-                    kept = b" ".join([raw[a:b] for a, b in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True)])
-                    row = (ids[i + k], len(s), int(gone.sum()), [{"start": a, "end": b} for a, b in tx.runs(gone).tolist()], kept.decode() if texts else None, hashlib.sha256(kept).hexdigest())
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return run
+
+def _cut(ids: list, column: pa.Array, marks: fp.Marks | None, size: int, buckets: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Removes the words that flagged windows cover."""
+    prints = _windows(size)
+    data, offs = tx.buffers(column)
+    for i, j in tx.steps(offs):
+        part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        start, end, bounds = tx.words(part, o)
+        raw = part.tobytes()
+        if marks is not None:
+            _, pb, salt = prints(part, o)
+            bucket = fp.bucket_of(salt, buckets)
+        out: list[list] = [[] for _ in SCHEMA]
+        for k in range(j - i):
+            s, e = start[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]]
+            gone = np.zeros(len(s), bool)
+            if marks is not None:
+                gone = tx.covered(marks.flags(ids[i + k], bucket[pb[k] : pb[k + 1]]), size, len(s))
+            kept = b" ".join([raw[a:b] for a, b in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True)])
+            row = (ids[i + k], len(s), int(gone.sum()), [{"start": a, "end": b} for a, b in tx.runs(gone).tolist()], kept.decode() if texts else None, hashlib.sha256(kept).hexdigest())
+            for c, v in zip(out, row, strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SCHEMA, strict=True)], schema=SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, *, size: int = SIZE, texts: bool = True) -> DataFrame:
@@ -79,9 +74,17 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, texts: bool = True) ->
     """
     docs = store.keyed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    flags, buckets = fp.repeated(docs, _windows(size), total / WORD, earlier=True)
+    flags, buckets, shares = fp.repeated(docs, _windows(size), total / WORD, total, earlier=True)
     flags = store.written(flags, "repeats")
-    ids = store.sized(store.written(flags.select("doc_id").distinct(), "repeat-ids"))
-    clean = docs.join(ids, "doc_id", "left_anti").mapInArrow(_cut(size, buckets, texts), RESULT)
-    found = docs.join(ids, "doc_id", "left_semi").join(fp.by_document(flags).hint("merge"), "doc_id")
-    return clean.unionByName(found.select("doc_id", "text", "marks").mapInArrow(_cut(size, buckets, texts), RESULT))
+    ids = store.sized(store.written(fp.flagged(flags), "repeat-ids"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cut(batch.column(0).to_pylist(), batch.column(1), None, size, buckets, texts)
+
+    def part(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_cut(rows.column("doc_id").to_pylist(), rows.column("text"), fp.Marks(marks), size, buckets, texts), SCHEMA)
+
+    clean = docs.join(ids, "doc_id", "left_anti").mapInArrow(whole, RESULT)
+    found = docs.join(ids, "doc_id", "left_semi").withColumn("share", fp.share_of(shares))
+    return clean.unionByName(found.groupBy("share").cogroup(flags.groupBy("share")).applyInArrow(part, RESULT))

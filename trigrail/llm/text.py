@@ -17,10 +17,10 @@ LOWER[65:91] += 32
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+    """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    col = column.cast(pa.large_string()).fill_null("")
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    col = column.cast(pa.large_binary()).fill_null(b"")
     offs = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
     data = col.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
