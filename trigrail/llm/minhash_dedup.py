@@ -11,8 +11,10 @@ last level is compared block by block.
 
 Sets that are equal form a class with one representative. In a region, pairs whose sketches agree
 well enough (SLACK lets pairs of the threshold through with 4.4 standard deviations to spare) are
-candidates. First a spanning forest of each region's candidates is verified on full sets; then
-all candidates that still join different components. What is lost is thus only what the trees miss.
+candidates, verified on full sets in rounds. In the first, each document meets the one that seems
+most similar of its regions' leaders. Then, in regions with several components, the best candidates
+of every two components are tried, then more of them, and at last all that still join different
+components. Pairs within a component are never listed, and what is lost is only what the trees miss.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WORDS, THRESHOLD, MINHASHES, SLACK = 5, (75, 100), 128, 0.58
 LEVELS = ((4, 18), (6, 34), (9, 84))
 #: Most documents of a region that one task compares with each other.
 REGION = 4000
+#: Candidates of two components that a round after the first tries (None: all).
+ROUNDS = (4, 64, None)
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bits binary"
 
 
@@ -113,56 +117,62 @@ def agreement(bits: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
-def spanning(bits: np.ndarray) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the candidates, by growing trees (Prim)."""
-    n, out = len(bits), []
-    best, by = np.full(n, -1.0, np.float32), np.zeros(n, np.int64)
-    left = np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        left[at], best[at] = False, -1
-        near = agreement(bits, at, at + 1)[0]
-        up = left & (near > best)
-        best[up], by[up] = near[up], at
-        nxt = int(np.argmax(best))
-        if not left[nxt]:
-            nxt = int(np.argmax(left))
-        elif best[nxt] >= SLACK:
-            out.append((int(by[nxt]), nxt))
-        at = nxt
-    return out
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """Candidates in the regions of one share: a spanning forest, or, if comp differs from rep, all pairs across components."""
-    first: list[np.ndarray] = []
-    if table.num_rows:
-        table = table.combine_chunks()
+def led(bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leader, followers, similarities): each document follows the first leader that seems similar, or leads itself."""
+    left = np.arange(len(bits))
+    while len(left) > 1:
+        near = agreement(bits[left], 0, 1)[0]
+        follows = near >= THRESHOLD[0] / THRESHOLD[1]
+        follows[0] = False
+        if follows.any():
+            yield int(left[0]), left[follows], near[follows]
+        follows[0] = True
+        left = left[~follows]
+
+
+def across(bits: np.ndarray, comp: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, similarity) of candidates of different components, the top ones of every two."""
+    found = []
+    for k in range(0, len(bits), 64):
+        near = agreement(bits, k, min(k + 64, len(bits)))
+        x, y = np.nonzero((near >= SLACK) & (comp[k : k + 64, None] < comp[None, :]))
+        found.append((x + k, y, near[x, y]))
+    x, y, near = (np.concatenate(f) for f in zip(*found, strict=True))
+    if top is not None and len(x):
+        order = np.lexsort((y, x, -near, comp[y], comp[x]))
+        x, y, near = x[order], y[order], near[order]
+        head = np.concatenate(([True], (comp[x][1:] != comp[x][:-1]) | (comp[y][1:] != comp[y][:-1])))
+        place = np.arange(len(x))
+        keep = place - np.maximum.accumulate(np.where(head, place, 0)) < top
+        x, y, near = x[keep], y[keep], near[keep]
+    return x, y, near
+
+
+def _compare(top: int | None, first: bool):
+    """Candidates in the regions of one share: with leaders (first), or across components."""
+
+    def run(table: pa.Table) -> pa.Table:
         region, rep, comp = (table.column(c).to_numpy() for c in ("region", "rep", "comp"))
         order = np.lexsort((rep, region))
         region, rep, comp = region[order], rep[order], comp[order]
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(rep), -1)[order]
-        forest = bool((comp == -1).all())
         cut = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
-        sizes = np.diff(cut)
+        sizes, found = np.diff(cut), []
         two = cut[:-1][sizes == 2]
-        if len(two):
-            near = ((bits[two] == bits[two + 1]).mean(1) - 1 / 256) / (1 - 1 / 256)
-            ok = (near >= SLACK) & (forest | (comp[two] != comp[two + 1]))
-            first.append(np.stack((rep[two], rep[two + 1]), 1)[ok])
-        for lo in cut[:-1][sizes > 2].tolist():
-            hi = int(cut[np.searchsorted(cut, lo, "right")])
-            b, r, c = bits[lo:hi], rep[lo:hi], comp[lo:hi]
-            if forest:
-                pairs = np.array(spanning(b), np.int64).reshape(-1, 2)
-                first.append(np.sort(np.stack((r[pairs[:, 0]], r[pairs[:, 1]]), 1), 1))
+        near = ((bits[two] == bits[two + 1]).mean(1) - 1 / 256) / (1 - 1 / 256)
+        ok = near >= THRESHOLD[0] / THRESHOLD[1] if first else (near >= SLACK) & (comp[two] != comp[two + 1])
+        found.append((rep[two][ok], rep[two + 1][ok], near[ok]))
+        for lo, n in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            b, r = bits[lo : lo + n], rep[lo : lo + n]
+            if first:
+                found += [(np.full(len(f), r[k]), r[f], s) for k, f, s in led(b)]
             else:
-                for k in range(0, hi - lo, 64):
-                    near = agreement(b, k, min(k + 64, hi - lo))
-                    x, y = np.nonzero((near >= SLACK) & (c[k : k + 64, None] < c[None, :]))
-                    first.append(np.sort(np.stack((r[x + k], r[y]), 1), 1))
-    pairs = np.unique(np.concatenate(first), axis=0) if first else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                x, y, s = across(b, comp[lo : lo + n], top)
+                found.append((np.minimum(r[x], r[y]), np.maximum(r[x], r[y]), s))
+        a, b, near = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "near": pa.array(near, pa.float64())})
+
+    return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,18 +233,27 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     some = store.written(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "bits"), "met-bits")
     shares = max(24, met.count() // 50_000 + 1)
 
-    def candidates(rows: DataFrame) -> DataFrame:
+    def candidates(rows: DataFrame, top: int | None, first: bool) -> DataFrame:
         rows = rows.join(some, "rep").select("region", "rep", "comp", "bits", F.pmod(F.xxhash64("region"), F.lit(shares)).alias("share"))
-        return rows.groupBy("share").applyInArrow(_compare, "a long, b long").distinct()
-
-    tried = _verified(docs, store.written(candidates(met.withColumn("comp", F.lit(-1).cast("long"))), "forest"))
-    links = tried.where("linked").select("a", "b")
-    parts = store.written(components(links), "parts").withColumnRenamed("id", "rep")
-    named = met.join(parts, "rep", "left").select("region", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = named.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
-    rest = candidates(named.join(mixed, "region", "left_semi")).join(tried, ["a", "b"], "left_anti")
-    more = _verified(docs, store.written(rest, "rest")).where("linked").select("a", "b")
-    whole = components(parts.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more))
+        found = rows.groupBy("share").applyInArrow(_compare(top, first), "a long, b long, near double")
+        if first:
+            best = found.groupBy("b").agg(F.max(F.struct("near", (-F.col("a")).alias("a"))).alias("to"))
+            return best.select((-F.col("to.a")).alias("a"), "b")
+        return found.select("a", "b").distinct()
+
+    tried = _verified(docs, store.written(candidates(met.withColumn("comp", F.col("rep")), None, True), "led"))
+    parts = store.written(components(tried.where("linked")), "parts")
+    for top in ROUNDS:
+        named = met.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("region", "rep", F.coalesce("component", "rep").alias("comp"))
+        mixed = named.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
+        rest = store.written(candidates(named.join(mixed, "region", "left_semi"), top, False), "across")
+        if rest.isEmpty():
+            break
+        new = _verified(docs, store.written(rest.join(tried, ["a", "b"], "left_anti"), "untried"))
+        tried = tried.union(new)
+        links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new.where("linked").select("a", "b"))
+        parts = store.written(components(links), "parts")
+    whole = parts
     to = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(to, ["d1", "d2"], "left")
     own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("c")), F.col("doc_id"))
