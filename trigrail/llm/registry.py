@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trigrail.llm import bpe, minhash_dedup, store, substring_dedup, suffix_dedup, token_counts, toxicity
+from trigrail.llm import bpe, language_id, minhash_dedup, store, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_suffix_dedup, op5_byte_bpe, op7_substring_dedup, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op3_token_counts, op4_suffix_dedup, op5_byte_bpe, op7_substring_dedup, op8_language_id, op9_minhash_near_dedup, op10_toxicity)}
 
 
 OP7_SQL = r"""
