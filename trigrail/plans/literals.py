@@ -1,0 +1,100 @@
+"""Strings that every match of a regular expression must contain, for the trigram prefilter.
+
+The reading is conservative: whatever it doesn't know yields no literal, and an index that is asked
+for nothing is not used. After the published idea of a trigram index for regular expressions (Cox, 2012).
+"""
+
+from __future__ import annotations
+
+OPTIONAL, CUTS = "?*{", ".^$"
+
+
+def _after_class(pattern: str, i: int) -> int:
+    """The place after the character class that opens at i, -1 if it isn't closed plainly."""
+    i += 1
+    if pattern[i : i + 1] == "^":
+        i += 1
+    first = True
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c in "[&":  # nested classes and intersections
+            return -1
+        elif c == "]" and not first:
+            return i + 1
+        first = False
+        i += 1
+    return -1
+
+
+def _after_group(pattern: str, i: int) -> int:
+    """The place after the group that opens at i, -1 if it isn't closed plainly or sets flags for what follows."""
+    if pattern[i : i + 2] == "(?" and pattern[i : i + 3] != "(?:":
+        return -1
+    depth = 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            if pattern[i + 1 : i + 2] == "Q":
+                return -1
+            i += 1
+        elif c == "[":
+            i = _after_class(pattern, i) - 1
+            if i < 0:
+                return -1
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return i + 1
+        i += 1
+    return -1
+
+
+def required(pattern: str) -> list[str]:
+    """Literal runs at the top level of pattern. Alternatives and flags there give none."""
+    found, run, i = [], "", 0
+
+    def cut() -> None:
+        nonlocal run
+        if run:
+            found.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c, literal = pattern[i], ""
+        if c == "|" or c == ")":
+            return []
+        if c == "(":
+            i = _after_group(pattern, i)
+        elif c == "[":
+            i = _after_class(pattern, i)
+        elif c == "\\":
+            escaped = pattern[i + 1 : i + 2]
+            if not escaped or escaped == "Q" or (escaped.isalnum() and escaped not in "dDsSwWbB"):
+                return []
+            literal = "" if escaped.isalnum() else escaped
+            i += 2
+        elif c in CUTS or c in OPTIONAL or c == "+":
+            i += 1
+        else:
+            literal = c
+            i += 1
+        if i < 0:
+            return []
+        after = pattern[i : i + 1]
+        if not literal or (after and after in OPTIONAL):
+            cut()
+        else:
+            run += literal
+            if after == "+":
+                cut()
+        if after == "{":  # skip the count
+            end = pattern.find("}", i)
+            if end < 0:
+                return []
+            i = end + 1
+    cut()
+    return found
