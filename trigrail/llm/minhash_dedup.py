@@ -11,10 +11,11 @@ last level is compared block by block.
 
 Sets that are equal form a class with one representative. In a region, pairs whose sketches agree
 well enough (SLACK lets pairs of the threshold through with 4.4 standard deviations to spare) are
-candidates, verified on full sets in rounds. In the first, each document meets the one that seems
-most similar of its regions' leaders. Then, in regions with several components, the best candidates
-of every two components are tried, then more of them, and at last all that still join different
-components. Pairs within a component are never listed, and what is lost is only what the trees miss.
+candidates, verified on full sets. First each document meets the one that seems most similar of its
+regions' leaders. Then, in regions with several components, each component's best candidates are
+tried. What still lies in regions with several components at last brings its texts there, and each
+region's task verifies every candidate across components, listing no pairs but those that join two.
+What is lost is thus only what the trees miss.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WORDS, THRESHOLD, MINHASHES, SLACK = 5, (75, 100), 128, 0.58
 LEVELS = ((4, 18), (6, 34), (9, 84))
 #: Most documents of a region that one task compares with each other.
 REGION = 4000
-#: Candidates of two components that a round after the first tries (None: all).
-ROUNDS = (4, 64, None)
+#: Candidates of a component that the second round tries in each region; bytes of text in a task of the last.
+BEST, SETTLED = 4, 16 << 20
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bits binary"
 
 
@@ -68,6 +69,11 @@ def minhashes(sets: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def sketch_bits(sig: np.ndarray) -> np.ndarray:
+    """A byte of each minhash value."""
+    return (tx.mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = tx.buffers(batch.column(1))
@@ -76,7 +82,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = minhashes(sets, bounds, MINHASHES)
             digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            bits = (tx.mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+            bits = sketch_bits(sig)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([s.tobytes() for s in bits], pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "sig", "bits"],
@@ -103,7 +109,7 @@ def _prefixes(level: int, depth: int, trees: int):
                 h = np.full(len(sig), t + 1, np.uint64)
                 for c in order:
                     h = tx.mix(h ^ sig[:, c].astype(np.uint64) * np.uint64(tx.WINDOW_BASE))
-                yield pa.RecordBatch.from_arrays([rep, pa.array(h.view(np.int64))], names=["rep", "region"])
+                yield pa.RecordBatch.from_arrays([rep, pa.array(h.view(np.int64)), pa.array(np.full(len(sig), 1000 * level + t, np.int32))], names=["rep", "region", "tree"])
 
     return run
 
@@ -130,26 +136,29 @@ def led(bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         left = left[~follows]
 
 
-def across(bits: np.ndarray, comp: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, similarity) of candidates of different components, the top ones of every two."""
-    found = []
+def across(bits: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, similarity) of the candidates of different components, each once, in blocks of x."""
     for k in range(0, len(bits), 64):
         near = agreement(bits, k, min(k + 64, len(bits)))
         x, y = np.nonzero((near >= SLACK) & (comp[k : k + 64, None] < comp[None, :]))
-        found.append((x + k, y, near[x, y]))
-    x, y, near = (np.concatenate(f) for f in zip(*found, strict=True))
-    if top is not None and len(x):
-        order = np.lexsort((y, x, -near, comp[y], comp[x]))
-        x, y, near = x[order], y[order], near[order]
-        head = np.concatenate(([True], (comp[x][1:] != comp[x][:-1]) | (comp[y][1:] != comp[y][:-1])))
+        yield x + k, y, near[x, y]
+
+
+def best(bits: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of across() what is among the BEST of either component."""
+    x, y, near = (np.concatenate(f) for f in zip(*across(bits, comp), strict=True))
+    keep = np.zeros(len(x), bool)
+    for of in (comp[x], comp[y]):
+        order = np.lexsort((y, x, -near, of))
         place = np.arange(len(x))
-        keep = place - np.maximum.accumulate(np.where(head, place, 0)) < top
-        x, y, near = x[keep], y[keep], near[keep]
-    return x, y, near
+        head = np.ones(len(x), bool)
+        head[1:] = of[order][1:] != of[order][:-1]
+        keep[order[place - np.maximum.accumulate(np.where(head, place, 0)) < BEST]] = True
+    return x[keep], y[keep], near[keep]
 
 
-def _compare(top: int | None, first: bool):
-    """Candidates in the regions of one share: with leaders (first), or across components."""
+def _compare(first: bool):
+    """Candidates in the regions of one share: with leaders (first), or the best across components."""
 
     def run(table: pa.Table) -> pa.Table:
         region, rep, comp = (table.column(c).to_numpy() for c in ("region", "rep", "comp"))
@@ -167,7 +176,7 @@ def _compare(top: int | None, first: bool):
             if first:
                 found += [(np.full(len(f), r[k]), r[f], s) for k, f, s in led(b)]
             else:
-                x, y, s = across(b, comp[lo : lo + n], top)
+                x, y, s = best(b, comp[lo : lo + n])
                 found.append((np.minimum(r[x], r[y]), np.maximum(r[x], r[y]), s))
         a, b, near = (np.concatenate(f) for f in zip(*found, strict=True))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "near": pa.array(near, pa.float64())})
@@ -175,6 +184,55 @@ def _compare(top: int | None, first: bool):
     return run
 
 
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two full sets (ascending) are similar."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(p) + len(q) - both)
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Links that join components, by verifying every candidate across components of each region.
+
+    A pair that an earlier tree of the level brings together is left to that tree's region.
+    """
+    region, tree, rep, comp = (table.column(c).to_numpy() for c in ("region", "tree", "rep", "comp"))
+    order = np.lexsort((rep, region))
+    region, tree, rep, comp = region[order], tree[order], rep[order], comp[order]
+    reps, first = np.unique(rep, return_index=True)
+    data, offs = tx.buffers(table.column("text").take(pa.array(order[first])))
+    sets: list[np.ndarray] = []
+    sigs = []
+    for i, j in tx.steps(offs):
+        h, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        sigs.append(minhashes(h, bounds, MINHASHES))
+        sets += [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    sig, of = np.concatenate(sigs), np.searchsorted(reps, rep)
+    cut = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
+    found: list[tuple[int, int]] = []
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        level, t = divmod(int(tree[lo]), 1000)
+        mine = sig[of[lo:hi]]
+        for x, y, near in across(sketch_bits(mine), comp[lo:hi]):
+            fresh = np.ones(len(x), bool)
+            for o in orders(level, *LEVELS[level])[:t]:
+                fresh[fresh] = ~(mine[x[fresh]][:, o] == mine[y[fresh]][:, o]).all(1)
+            for k in np.flatnonzero(fresh)[np.argsort(-near[fresh], kind="stable")].tolist():
+                a, b = lo + int(x[k]), lo + int(y[k])
+                one, two = root(int(comp[a])), root(int(comp[b]))
+                if one != two and alike(sets[of[a]], sets[of[b]]):
+                    joined[max(one, two)] = min(one, two)
+                    found.append((int(rep[a]), int(rep[b])))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text of a, text of b) with whether they are similar, by their full sets."""
     for batch in batches:
@@ -183,9 +241,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in tx.steps(one[1] + two[1]):
             (x, xb), (y, yb) = (shingle_sets(d[o[i] : o[j]], o[i : j + 1] - o[i]) for d, o in (one, two))
             for k in range(j - i):
-                p, q = x[xb[k] : xb[k + 1]], y[yb[k] : yb[k + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok[i + k] = THRESHOLD[1] * both >= THRESHOLD[0] * (len(p) + len(q) - both)
+                ok[i + k] = alike(x[xb[k] : xb[k + 1]], y[yb[k] : yb[k + 1]])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "linked"])
 
 
@@ -198,20 +254,20 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _regions(reps: DataFrame, region: int) -> DataFrame:
-    """(rep, region, share): the regions of every level that are to be compared."""
+    """(rep, region, tree): the regions of every level that are to be compared."""
     out, search = None, reps
     for level, (depth, trees) in enumerate(LEVELS):
-        rows = search.select("rep", "sig").mapInArrow(_prefixes(level, depth, trees), "rep long, region long")
+        rows = search.select("rep", "sig").mapInArrow(_prefixes(level, depth, trees), "rep long, region long, tree int")
         rows = store.written(rows, "prefixes")
         size = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-        met = store.written(rows.join(size, "region").select("rep", "region", "n"), "regions")
+        met = store.written(rows.join(size, "region").select("rep", "region", "tree", "n"), "regions")
         store.drop(rows)
-        fit = met.where(F.col("n") <= region).select("rep", "region")
+        fit = met.where(F.col("n") <= region).select("rep", "region", "tree")
         dense = met.where(F.col("n") > region)
         if level == len(LEVELS) - 1:  # blocks of a region, every two of them together
             blocks = dense.withColumn("s", F.ceil(F.col("n") * 2 / region)).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("s")))
             tiles = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-            fit = fit.union(tiles.select("rep", F.xxhash64("region", F.least("k", "j"), F.greatest("k", "j")).alias("region")))
+            fit = fit.union(tiles.select("rep", F.xxhash64("region", F.least("k", "j"), F.greatest("k", "j")).alias("region"), "tree"))
         out = fit if out is None else out.union(fit)
         if level == len(LEVELS) - 1 or dense.isEmpty():
             break
@@ -233,26 +289,37 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     some = store.written(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "bits"), "met-bits")
     shares = max(24, met.count() // 50_000 + 1)
 
-    def candidates(rows: DataFrame, top: int | None, first: bool) -> DataFrame:
+    def candidates(rows: DataFrame, first: bool) -> DataFrame:
         rows = rows.join(some, "rep").select("region", "rep", "comp", "bits", F.pmod(F.xxhash64("region"), F.lit(shares)).alias("share"))
-        found = rows.groupBy("share").applyInArrow(_compare(top, first), "a long, b long, near double")
+        found = rows.groupBy("share").applyInArrow(_compare(first), "a long, b long, near double")
         if first:
-            best = found.groupBy("b").agg(F.max(F.struct("near", (-F.col("a")).alias("a"))).alias("to"))
-            return best.select((-F.col("to.a")).alias("a"), "b")
+            one = found.groupBy("b").agg(F.max(F.struct("near", (-F.col("a")).alias("a"))).alias("to"))
+            return one.select((-F.col("to.a")).alias("a"), "b")
         return found.select("a", "b").distinct()
 
-    tried = _verified(docs, store.written(candidates(met.withColumn("comp", F.col("rep")), None, True), "led"))
-    parts = store.written(components(tried.where("linked")), "parts")
-    for top in ROUNDS:
-        named = met.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("region", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = named.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
-        rest = store.written(candidates(named.join(mixed, "region", "left_semi"), top, False), "across")
-        if rest.isEmpty():
-            break
-        new = _verified(docs, store.written(rest.join(tried, ["a", "b"], "left_anti"), "untried"))
-        tried = tried.union(new)
-        links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new.where("linked").select("a", "b"))
-        parts = store.written(components(links), "parts")
+    def mixed(parts: DataFrame) -> DataFrame:
+        """Members of the regions that have several components."""
+        named = met.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("region", "tree", "rep", F.coalesce("component", "rep").alias("comp"))
+        several = named.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
+        return store.written(named.join(several, "region", "left_semi"), "mixed")
+
+    def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+        return store.written(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "parts")
+
+    led_by = _verified(docs, store.written(candidates(met.withColumn("comp", F.col("rep")), True), "led"))
+    parts = store.written(components(led_by.where("linked")), "parts")
+    rest = mixed(parts)
+    if not rest.isEmpty():
+        new = store.written(candidates(rest, False).join(led_by, ["a", "b"], "left_anti"), "best")
+        parts = merged(parts, _verified(docs, new).where("linked").select("a", "b"))
+        rest = mixed(parts)
+    if not rest.isEmpty():
+        ids = store.written(rest.select(F.col("rep").alias("doc_id")).distinct(), "unsettled")
+        texts = store.written(docs.select("doc_id", "text").join(store.sized(ids), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "unsettled-texts")
+        size = rest.groupBy("rep").agg(F.count("*").alias("n")).join(texts, "rep").agg(F.sum(F.col("n") * F.octet_length("text"))).first()[0] or 0
+        tasks = max(24, int(size // SETTLED) + 1)
+        rows = rest.join(texts.hint("merge"), "rep").withColumn("share", F.pmod(F.xxhash64("region"), F.lit(tasks)))
+        parts = merged(parts, store.written(rows.groupBy("share").applyInArrow(_settle, "a long, b long"), "joins"))
     whole = parts
     to = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(to, ["d1", "d2"], "left")
