@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trigrail.llm import store
 from trigrail.llm.components import components
 
-COSINE, WINDOW, LOSS, CELL = 0.98, 2.0, 1e-3, 1500
+COSINE, WINDOW, LOSS, CELL = 0.98, 2.0, 1e-4, 1500
 #: Width of a cell along a line (unit vectors spread by 1), and vectors that a cell of random ones holds, about.
 WIDTH, FILL = 1.0, 100
 VALID = "vec_id long, label string, vector binary"
@@ -42,7 +42,7 @@ def tables_for(vectors: int, cosine: float = COSINE) -> tuple[int, int]:
     """(tables, lines of each) for so many vectors of a label."""
     alike = 0.27  # of two random vectors, share of lines with the same cell
     lines = min(10, max(2, round(math.log(max(vectors, 1) / FILL) / -math.log(alike)) if vectors > FILL else 2))
-    together = (1 - spread(cosine) * math.sqrt(2 / math.pi) / WIDTH) ** lines
+    together = (1 - spread(cosine) * math.sqrt(2 / math.pi) / WIDTH) ** lines * math.erf(WINDOW / math.sqrt(2))
     return math.ceil(math.log(LOSS) / math.log(1 - together)), lines
 
 
@@ -102,7 +102,7 @@ def _cells(tables: int, lines: int):
 
 
 def links_of(unit: np.ndarray, block: np.ndarray, apart: bool, table: int, tables: int, lines: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (x, y) of a cell's vectors, each only in the first table whose cell they share.
+    """Linked pairs (x, y) of a cell's vectors, each only in the first table that brings them together (one cell, one window on its first line).
 
     apart: only pairs of different blocks.
     """
@@ -124,7 +124,8 @@ def links_of(unit: np.ndarray, block: np.ndarray, apart: bool, table: int, table
         ok = (x < y) & (np.abs(along[x] - along[y]) <= half) & ((block[x] != block[y]) | (not apart))
         x, y = x[ok], y[ok]
         if table:
-            ok = ~(cell[x, :table] == cell[y, :table]).all(2).any(1)
+            first = np.abs(on[x][:, : table * lines : lines] - on[y][:, : table * lines : lines]) <= half
+            ok = ~((cell[x, :table] == cell[y, :table]).all(2) & first).any(1)
             x, y = x[ok], y[ok]
         ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine if len(x) else np.zeros(0, bool)
         found.append((order[x[ok]], order[y[ok]]))
