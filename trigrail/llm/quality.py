@@ -38,6 +38,8 @@ WORDS = 10
 VOTE_BAD, VOTE_GOOD, NO_VOTE = 0, 1, 2
 #: Prior share of bad votes on good texts, with the weight of the whole corpus: labellers are set to be precise.
 ALARM = 0.005
+#: Least share of a fault's texts that its labeller calls bad.
+FAULT = 0.9
 STATS = tuple(name for name, *_ in LABELLERS)
 
 KIND = np.full(256, 16, np.uint8)  # of a byte in a word: other signs 16
@@ -121,6 +123,10 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
         rest = like[:, :, VOTE_GOOD:].sum(0) / like[:, :, VOTE_GOOD:].sum((0, 2))[:, None] * (1 - ALARM)
         like[0] += counts.sum() * np.concatenate((np.full((m, 1), ALARM), rest), 1)
         like /= like.sum(2, keepdims=True)
+        own = np.maximum(like[1:, :, VOTE_BAD].diagonal(), FAULT)  # else a class could drift to texts without the fault
+        other = like[1:, :, VOTE_GOOD:].diagonal().T
+        like[range(1, m + 1), range(m), VOTE_BAD] = own
+        like[range(1, m + 1), range(m), VOTE_GOOD:] = other / other.sum(1, keepdims=True) * (1 - own)[:, None]
         prior = share.T @ counts + 0.1
         prior /= prior.sum()
         log = np.log(prior) + np.log(like[:, np.arange(m), patterns]).sum(2).T
