@@ -87,12 +87,17 @@ WITH w AS (
 ), p AS (
   SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w
 ), h AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM p
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS m FROM p
+), f AS (
+  SELECT m, min(doc_id) AS doc_id FROM h GROUP BY m
+), g AS (
+  SELECT h.doc_id, h.i, h.doc_id > f.doc_id OR h.i > min(h.i) OVER (PARTITION BY h.m, h.doc_id) AS again FROM h JOIN f USING (m)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM h WHERE again
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM g WHERE again
+), each AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w
 ), kept AS (
-  SELECT w.doc_id, x.i, ws[x.i] AS word, gone.i IS NULL AS stays
-  FROM w, unnest(range(1, len(ws) + 1)) AS x(i) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = x.i
+  SELECT each.doc_id, each.i, word, gone.i IS NULL AS stays FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.i = each.i
 ), s AS (
   SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT stays) AS n_removed,
     sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM kept GROUP BY doc_id
