@@ -31,9 +31,9 @@ from trigrail.llm import fingerprints as fp
 from trigrail.llm import store
 from trigrail.llm import text as tx
 
-SIZE, GRAM, HOT = 200, 50, 20_000
+SIZE, GRAM, HOT = 200, 50, 2_000
 #: Bytes of text for each share of the suffix array, about.
-PART = 16 << 20
+PART = 4 << 20
 AROUND = "gram long, part long, left binary, right binary, docs binary, at binary"
 COVER = "share long, docs binary, starts binary, ends binary"
 COVER_SCHEMA = pa.schema([("share", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
