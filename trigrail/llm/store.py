@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     own = tempfile.mkdtemp(prefix="trigrail-")
+    atexit.register(shutil.rmtree, own, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
