@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 
 from trigrail.llm import store
 
-SLICE = 24 << 20
+SLICE = 12 << 20
 #: Most words whose ids one task remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 RESULT = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 

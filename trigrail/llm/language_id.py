@@ -27,7 +27,7 @@ SAMPLE, LIKELY = 4000, 8
 #: Expectation-maximisation steps; what another language has to gain for each log of the number of n-grams.
 ROUNDS, PENALTY = 12, 12.0
 #: Characters that one step of the inference holds, about.
-STEP = 1_000_000
+STEP = 500_000
 UNKNOWN = "und"
 
 
@@ -74,8 +74,9 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
         letters, sums = Letters(), {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for i in range(0, batch.num_rows, 200):
-                for lang, (bins, c) in zip(langs[i : i + 200], letters.counts(batch.column(1).slice(i, 200).to_pylist()), strict=True):
+            _, offs = tx.buffers(batch.column(1))
+            for i, j in tx.steps(offs, STEP):
+                for lang, (bins, c) in zip(langs[i:j], letters.counts(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
                     sums.setdefault(lang, np.zeros(1 << BITS))[bins] += c
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.astype("<f4").tobytes() for s in sums.values()], pa.binary())], names=["lang", "counts"])

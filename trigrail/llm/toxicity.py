@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrail.llm import linear, store
+from trigrail.llm import text as tx
 
 ORDERS, BITS, SMOOTH = (3, 4, 5, 6), 19, 0.2
 #: Fitted documents that must have a feature for it to count.
 LEAST = 5
+#: Bytes of text that one step holds, about.
+STEP = 1 << 19
 #: Most labelled documents of each class that are fitted.
 SAMPLE = 2500
 
@@ -36,7 +39,8 @@ def _scaled(row: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    rows = [r for i in range(0, len(texts), 200) for r in linear.character_ngrams(texts[i : i + 200], ORDERS, BITS)]
+    offs = np.cumsum([0, *map(len, texts)])
+    rows = [r.astype(np.int32) for i, j in tx.steps(offs, STEP) for r in linear.character_ngrams(texts[i:j], ORDERS, BITS)]
     counts = np.full((2, 1 << BITS), SMOOTH)
     for r, y, w in zip(rows, toxic, weight, strict=True):
         counts[int(y), r] += w
@@ -83,8 +87,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, w, bias = sent.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            _, offs = tx.buffers(batch.column(1))
+            for i, j in tx.steps(offs, STEP):
+                part = batch.slice(i, j - i)
                 rows = linear.character_ngrams([t or "" for t in part.column(1).to_pylist()], ORDERS, BITS)
                 s = linear.sigmoid(np.array([float(w[r] @ v) for r, v in (_scaled(r, ratio) for r in rows)]) + bias)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
