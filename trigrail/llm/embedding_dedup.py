@@ -63,40 +63,45 @@ def lines_of(dimension: int, lines: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dimension, lines)), rng.uniform(0, WIDTH, lines)
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, out, labels = [], [], []
-        for i, v, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if v and None not in v:
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all() and x.any():
-                    ids.append(i)
-                    labels.append(f"{label}/{len(x)}")
-                    out.append((x + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
-
-
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _valid(kind: str):
+    """Ids, labels with the vector's length, and vectors as bytes of their own kind of number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out, labels = [], [], []
+            for i, v, label in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if v and None not in v:
+                    x = np.array(v, kind)
+                    if np.isfinite(x).all() and x.any():
+                        ids.append(i)
+                        labels.append(f"{label}/{len(x)}")
+                        out.append((x + x.dtype.type(0)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
+
+    return run
+
+
+def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _cells(tables: int, lines: int):
-    """(id, weight, label, vector) to a row for each table with its cell."""
+def _cells(tables: int, lines: int, kind: str):
+    """(id, label, vector) to a row for each table with its cell, without the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(3).to_pylist()
+            vectors = batch.column(2).to_pylist()
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
-                to, shift = lines_of(size // 8, tables * lines)
-                cell = np.floor((_unit([vectors[k] for k in at]) @ to + shift) / WIDTH).astype("<i4")
-                rows = batch.take(pa.array(at))
+                to, shift = lines_of(size // np.dtype(kind).itemsize, tables * lines)
+                cell = np.floor((_unit([vectors[k] for k in at], kind) @ to + shift) / WIDTH).astype("<i4")
+                rows = batch.select(["id", "label"]).take(pa.array(at))
                 for t in range(tables):
                     key = [c.tobytes() for c in np.ascontiguousarray(cell[:, t * lines : (t + 1) * lines])]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([t] * len(at), pa.int32()), pa.array(key, pa.binary())], names=["id", "weight", "label", "vector", "table", "cell"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([t] * len(at), pa.int32()), pa.array(key, pa.binary())], names=["id", "label", "table", "cell"])
 
     return run
 
@@ -144,7 +149,7 @@ def lowest(n: int, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _meet(tables: int, lines: int, cosine: float):
+def _meet(tables: int, lines: int, cosine: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         cell = np.unique(np.array(table.column("tile").to_pylist(), np.int64), return_inverse=True)[1]
         order = np.argsort(cell, kind="stable")
@@ -155,7 +160,7 @@ def _meet(tables: int, lines: int, cosine: float):
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             at = order[a:b]
             if len(at) > 1:
-                x, y = links_of(_unit(vectors.take(pa.array(at)).to_pylist()), block[at], bool(cross[at[0]]), int(of[at[0]]), tables, lines, cosine)
+                x, y = links_of(_unit(vectors.take(pa.array(at)).to_pylist(), kind), block[at], bool(cross[at[0]]), int(of[at[0]]), tables, lines, cosine)
                 if len(x):
                     w, n = weight[at], len(at)
                     links = np.bincount(x, w[y], n) + np.bincount(y, w[x], n)
@@ -178,23 +183,25 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, cell: int = C
     rows = store.columns(vectors, "vec_id", "embedding", "label").where("vec_id is not null")
     if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
         rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("one")).select("vec_id", "one.embedding", "one.label")
-    known = rows.where("label is not null").select("vec_id", F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
-    valid = store.written(known.mapInArrow(_valid, VALID), "vectors")
+    kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+    known = rows.where("label is not null").select("vec_id", F.col("embedding").cast(f"array<{'float' if kind == '<f4' else 'double'}>"), F.col("label").cast("string"))
+    valid = store.written(known.mapInArrow(_valid(kind), VALID), "vectors")
     digest = F.sha2(F.concat("label", F.lit("/"), F.hex("vector")).cast("binary"), 256)
     member = store.written(valid.select("vec_id", "label", digest.alias("digest")), "members")
     classes = store.written(member.groupBy("digest", "label").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     tables, lines = tables_for(most, cosine)
-    reps = classes.select("id", "weight").join(valid.withColumnRenamed("vec_id", "id"), "id").select("id", "weight", "label", "vector")
-    cells = store.written(reps.mapInArrow(_cells(tables, lines), "id long, weight long, label string, vector binary, table int, cell binary"), "cells")
+    reps = store.written(classes.select("id", "weight").join(valid.withColumnRenamed("vec_id", "id"), "id").select("id", "label", "vector", "weight"), "reps")
+    cells = store.written(reps.select("id", "label", "vector").mapInArrow(_cells(tables, lines, kind), "id long, label string, table int, cell binary"), "cells")
     full = cells.groupBy("label", "table", "cell").agg(F.count("*").alias("n")).where("n > 1")
     dealt = cells.join(full, ["label", "table", "cell"]).withColumn("s", F.ceil(F.col("n") * 2 / cell).cast("int"))
     dealt = dealt.withColumn("s", F.when(F.col("n") <= cell, 1).otherwise(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     tile = F.xxhash64("label", "table", "cell", F.least("block", "j"), F.greatest("block", "j"))
-    dealt = dealt.select("id", "weight", "vector", "table", "block", (F.col("block") != F.col("j")).alias("cross"), tile.alias("tile"))
+    dealt = dealt.select("id", "table", "block", (F.col("block") != F.col("j")).alias("cross"), tile.alias("tile"))
     shares = max(24, cells.count() // 20_000 + 1)
-    met = dealt.withColumn("share", F.pmod(F.col("tile"), F.lit(shares))).groupBy("share").applyInArrow(_meet(tables, lines, cosine), MET)
+    dealt = dealt.join(reps.select("id", "weight", "vector"), "id").withColumn("share", F.pmod(F.col("tile"), F.lit(shares)))
+    met = dealt.groupBy("share").applyInArrow(_meet(tables, lines, cosine, kind), MET)
     met = store.written(met, "met")
     parts = components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
