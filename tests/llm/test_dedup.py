@@ -116,6 +116,21 @@ def test_needed_collisions_keep_recall():
         assert 0 < embedding_dedup.needed(tables * lines) <= tables * lines
 
 
+@pytest.mark.parametrize(("tables", "lines"), [(27, 10), (40, 10)])
+def test_links_of_many_lines(tables, lines):
+    """More lines than a byte counts: what the closest pairs share does not wrap."""
+    rng = np.random.default_rng(4)
+    base = np.repeat(rng.standard_normal((30, 32)), 5, axis=0)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True) + rng.standard_normal((150, 32)) * np.tile([0, 1e-4, 0.01, 0.02, 0.03], 30)[:, None]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    x, y = embedding_dedup.links_of(unit, np.zeros(150, np.int64), False, 0, tables, lines, 0.98)
+    to, _ = embedding_dedup.lines_of(32, tables * lines)
+    on, half = (unit @ to)[:, 0], embedding_dedup.WINDOW * embedding_dedup.spread(0.98)
+    near = {(i, j) for i, j in itertools.combinations(range(150), 2) if unit[i] @ unit[j] >= 0.98 and abs(on[i] - on[j]) <= half}
+    assert len(near) > 100 and embedding_dedup.needed(tables * lines) > 240
+    assert {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)} == near
+
+
 def test_window_hashes_tell_windows_apart():
     h = tx.mix(np.arange(50, dtype=np.uint64))
     assert len(np.unique(tx.window_hashes(h, 20))) == 31

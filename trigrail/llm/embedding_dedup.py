@@ -121,7 +121,7 @@ def links_of(unit: np.ndarray, block: np.ndarray, apart: bool, table: int, table
     for k in range(0, len(on), 256):
         q = slice(k, min(k + 256, len(on)))
         lo, hi = k, int(np.searchsorted(along, along[q.stop - 1] + half, "right"))
-        count = np.zeros((q.stop - k, hi - lo), np.uint8)
+        count = np.zeros((q.stop - k, hi - lo), np.uint16)  # of a few hundred lines
         for m in range(on.shape[1]):
             count += np.abs(on[q, m, None] - on[None, lo:hi, m]) <= half
         x, y = np.nonzero(count >= least)
