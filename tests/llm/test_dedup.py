@@ -71,6 +71,16 @@ def test_levels_have_their_recall():
     assert all(1 - (1 - least**depth) ** trees >= 0.998 for depth, trees in minhash_dedup.LEVELS)
 
 
+def test_trees_share_no_values():
+    """Recall of the levels at the threshold as their trees really read values, not by the formula."""
+    rng = np.random.default_rng(6)
+    least = minhash_dedup.THRESHOLD[0] / minhash_dedup.THRESHOLD[1]
+    for level, (depth, trees) in enumerate(minhash_dedup.LEVELS):
+        order = minhash_dedup.orders(level, depth, trees)
+        equal = rng.random((40_000, max(o.max() for o in order) + 1)) < least
+        assert np.any([equal[:, o].all(1) for o in order], axis=0).mean() >= 0.998
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)

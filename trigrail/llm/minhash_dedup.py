@@ -6,8 +6,9 @@ its own: documents sorted by that order are neighbours as far as their longest c
 and a region is a run of documents whose common prefix has the depth of the level. LEVELS pairs a
 depth with as many trees as catch a pair of similarity THRESHOLD with at least 0.998. A region too
 dense at one level is not searched there: its documents, all of them, go to the next level, which is
-deeper and has more trees, so that adapting the depth costs no recall. What is still too dense at the
-last level is compared block by block.
+deeper and has more trees. These read minhash values of their own, computed again from the texts, so that
+no two trees share a value, and a level misses at most 0.002 of such pairs (once for each level that
+a pair has to pass). What is still too dense at the last level is compared block by block.
 
 Sets that are equal form a class with one representative. In a region, pairs whose sketches agree
 well enough (SLACK lets pairs of the threshold through with 4.4 standard deviations to spare) are
@@ -58,13 +59,13 @@ def multipliers(n: int) -> np.ndarray:
     return tx.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(tx.WINDOW_BASE)) | np.uint64(1)
 
 
-def minhashes(sets: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """uint32 [texts, n]; an empty set has the greatest values."""
+def minhashes(sets: np.ndarray, bounds: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
+    """uint32 [texts, n], of the functions after the first skip; an empty set has the greatest values."""
     out = np.full((len(bounds) - 1, n), 2**32 - 1, np.uint32)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         at = bounds[:-1][full]
-        for k, a in enumerate(multipliers(n)):
+        for k, a in enumerate(multipliers(skip + n)[skip:]):
             out[full, k] = np.minimum.reduceat(sets * a + (a >> np.uint64(7)), at) >> np.uint64(32)
     return out
 
@@ -90,26 +91,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def orders(level: int, depth: int, trees: int) -> list[np.ndarray]:
-    """Which minhash values each tree reads, in its order; trees of a level share none as long as there are enough."""
-    rng = np.random.default_rng(1000 + level)
-    deck = np.concatenate([rng.permutation(MINHASHES) for _ in range(-(-depth * trees // MINHASHES) + 1)])
-    return [deck[t * depth : (t + 1) * depth] for t in range(trees)]
+    """Which minhash values of a level each tree reads, in its order; no two trees share one."""
+    n = depth * trees
+    deck = np.random.default_rng(1000).permutation(MINHASHES) if level == 0 else np.arange(n)
+    return list(deck[:n].reshape(trees, depth))
 
 
 def _prefixes(level: int, depth: int, trees: int):
-    """(rep, tree, prefix): of each document the common hash of its first depth values in each tree."""
+    """(rep, tree, prefix): of each document the common hash of its first depth values in each tree.
+
+    Level 0 reads (rep, sig); deeper levels read (rep, text) and compute values that no other level has.
+    """
+    skip = MINHASHES + sum(d * t for d, t in LEVELS[1:level])
+
+    def hashed(rep: pa.Array, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t, order in enumerate(orders(level, depth, trees)):
+            h = np.full(len(sig), t + 1, np.uint64)
+            for c in order:
+                h = tx.mix(h ^ sig[:, c].astype(np.uint64) * np.uint64(tx.WINDOW_BASE))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(h.view(np.int64)), pa.array(np.full(len(sig), 1000 * level + t, np.int32))], names=["rep", "region", "tree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            rep = batch.column(0)
-            for t, order in enumerate(orders(level, depth, trees)):
-                h = np.full(len(sig), t + 1, np.uint64)
-                for c in order:
-                    h = tx.mix(h ^ sig[:, c].astype(np.uint64) * np.uint64(tx.WINDOW_BASE))
-                yield pa.RecordBatch.from_arrays([rep, pa.array(h.view(np.int64)), pa.array(np.full(len(sig), 1000 * level + t, np.int32))], names=["rep", "region", "tree"])
+            if level == 0:
+                yield from hashed(batch.column(0), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+                continue
+            data, offs = tx.buffers(batch.column(1))
+            for i, j in tx.steps(offs):
+                sets, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                yield from hashed(batch.column(0).slice(i, j - i), minhashes(sets, bounds, depth * trees, skip))
 
     return run
 
@@ -221,7 +233,7 @@ def _settle(table: pa.Table) -> pa.Table:
         mine = sig[of[lo:hi]]
         for x, y, near in across(sketch_bits(mine), comp[lo:hi]):
             fresh = np.ones(len(x), bool)
-            for o in orders(level, *LEVELS[level])[:t]:
+            for o in orders(level, *LEVELS[level])[:t] if level == 0 else ():  # deeper values are not at hand: a pair may be verified again
                 fresh[fresh] = ~(mine[x[fresh]][:, o] == mine[y[fresh]][:, o]).all(1)
             for k in np.flatnonzero(fresh)[np.argsort(-near[fresh], kind="stable")].tolist():
                 a, b = lo + int(x[k]), lo + int(y[k])
@@ -253,11 +265,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return store.written(both.select("a", "b", "t1", "t2").mapInArrow(_similar, "a long, b long, linked boolean"), "links")
 
 
-def _regions(reps: DataFrame, region: int) -> DataFrame:
+def _regions(docs: DataFrame, reps: DataFrame, region: int) -> DataFrame:
     """(rep, region, tree): the regions of every level that are to be compared."""
-    out, search = None, reps
+    out, search = None, reps.select("rep", "sig")
     for level, (depth, trees) in enumerate(LEVELS):
-        rows = search.select("rep", "sig").mapInArrow(_prefixes(level, depth, trees), "rep long, region long, tree int")
+        rows = search.mapInArrow(_prefixes(level, depth, trees), "rep long, region long, tree int")
         rows = store.written(rows, "prefixes")
         size = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
         met = store.written(rows.join(size, "region").select("rep", "region", "tree", "n"), "regions")
@@ -271,7 +283,8 @@ def _regions(reps: DataFrame, region: int) -> DataFrame:
         out = fit if out is None else out.union(fit)
         if level == len(LEVELS) - 1 or dense.isEmpty():
             break
-        search = reps.join(dense.select("rep").distinct(), "rep", "left_semi")
+        ids = store.written(dense.select("rep").distinct(), "dense")
+        search = docs.select(F.col("doc_id").alias("rep"), "text").join(store.sized(ids), "rep", "left_semi")
     return out
 
 
@@ -285,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     sketch = store.written(docs.mapInArrow(_sketch, SKETCH), "sketches")
     classes = store.written(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bits")
-    met = store.written(_regions(reps, region), "met")
+    met = store.written(_regions(docs, reps, region), "met")
     some = store.written(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "bits"), "met-bits")
     shares = max(24, met.count() // 50_000 + 1)
 
