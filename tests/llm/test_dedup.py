@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from trigrail.llm import components, embedding_dedup, fingerprints, minhash_dedup, substring_dedup, suffix_dedup
@@ -81,6 +82,24 @@ def test_trees_share_no_values():
         assert np.any([equal[:, o].all(1) for o in order], axis=0).mean() >= 0.998
 
 
+def test_settle_leaves_pairs_only_to_compared_regions():
+    """Alike texts meet in nearly all trees; those of dense regions, which are not compared, settle nothing."""
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    last = minhash_dedup.LEVELS[0][1] - 1
+
+    def settled(tree, region, met):
+        rows = [{"region": region, "tree": tree, "rep": d, "comp": d, "text": t, "met": met} for d, t in enumerate(texts)]
+        kind = pa.schema([("region", pa.int64()), ("tree", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("text", pa.string()), ("met", pa.list_(pa.struct([("tree", pa.int32()), ("whole", pa.int64())])))])
+        out = minhash_dedup._settle(pa.Table.from_pylist(rows, kind))
+        return list(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+
+    here, earlier = {"tree": last, "whole": 77}, {"tree": 0, "whole": 55}
+    assert settled(last, 77, [here]) == [(0, 1)]
+    assert settled(last, 77, [here, earlier]) == []
+    assert settled(0, 55, [here, earlier]) == [(0, 1)]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)

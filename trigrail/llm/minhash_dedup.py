@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +206,8 @@ def alike(p: np.ndarray, q: np.ndarray) -> bool:
 def _settle(table: pa.Table) -> pa.Table:
     """Links that join components, by verifying every candidate across components of each region.
 
-    A pair that an earlier tree of the level brings together is left to that tree's region.
+    A pair is left to the first tree in whose region it is compared: met has, of each document, the trees whose
+    regions are, with these regions (whole, not in blocks). A dense region that went on to the next level is none.
     """
     region, tree, rep, comp = (table.column(c).to_numpy() for c in ("region", "tree", "rep", "comp"))
     order = np.lexsort((rep, region))
@@ -219,6 +221,11 @@ def _settle(table: pa.Table) -> pa.Table:
         sigs.append(minhashes(h, bounds, MINHASHES))
         sets += [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     sig, of = np.concatenate(sigs), np.searchsorted(reps, rep)
+    met = pc.take(table.column("met").combine_chunks(), pa.array(order[first]))
+    row, one = pc.list_parent_indices(met).to_numpy(), pc.list_flatten(met)
+    trees, col = np.unique(pc.struct_field(one, "tree").to_numpy(), return_inverse=True)
+    at = np.zeros((len(reps), len(trees)), np.int64)
+    at[row, col] = pc.struct_field(one, "whole").to_numpy()
     cut = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
     found: list[tuple[int, int]] = []
     joined: dict[int, int] = {}
@@ -229,12 +236,12 @@ def _settle(table: pa.Table) -> pa.Table:
         return c
 
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        level, t = divmod(int(tree[lo]), 1000)
-        mine = sig[of[lo:hi]]
-        for x, y, near in across(sketch_bits(mine), comp[lo:hi]):
+        mine = of[lo:hi]
+        for x, y, near in across(sketch_bits(sig[mine]), comp[lo:hi]):
             fresh = np.ones(len(x), bool)
-            for o in orders(level, *LEVELS[level])[:t] if level == 0 else ():  # deeper values are not at hand: a pair may be verified again
-                fresh[fresh] = ~(mine[x[fresh]][:, o] == mine[y[fresh]][:, o]).all(1)
+            for c in range(np.searchsorted(trees, tree[lo])):
+                p, q = at[mine[x[fresh]], c], at[mine[y[fresh]], c]
+                fresh[fresh] = (p != q) | (p == 0)
             for k in np.flatnonzero(fresh)[np.argsort(-near[fresh], kind="stable")].tolist():
                 a, b = lo + int(x[k]), lo + int(y[k])
                 one, two = root(int(comp[a])), root(int(comp[b]))
@@ -266,7 +273,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _regions(docs: DataFrame, reps: DataFrame, region: int) -> DataFrame:
-    """(rep, region, tree): the regions of every level that are to be compared."""
+    """(rep, region, tree, whole): the regions of every level that are to be compared; of a block, whole is the region that it is of."""
     out, search = None, reps.select("rep", "sig")
     for level, (depth, trees) in enumerate(LEVELS):
         rows = search.mapInArrow(_prefixes(level, depth, trees), "rep long, region long, tree int")
@@ -274,12 +281,12 @@ def _regions(docs: DataFrame, reps: DataFrame, region: int) -> DataFrame:
         size = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
         met = store.written(rows.join(size, "region").select("rep", "region", "tree", "n"), "regions")
         store.drop(rows)
-        fit = met.where(F.col("n") <= region).select("rep", "region", "tree")
+        fit = met.where(F.col("n") <= region).select("rep", "region", "tree", F.lit(None).cast("long").alias("whole"))
         dense = met.where(F.col("n") > region)
         if level == len(LEVELS) - 1:  # blocks of a region, every two of them together
             blocks = dense.withColumn("s", F.ceil(F.col("n") * 2 / region)).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("s")))
             tiles = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-            fit = fit.union(tiles.select("rep", F.xxhash64("region", F.least("k", "j"), F.greatest("k", "j")).alias("region"), "tree"))
+            fit = fit.union(tiles.select("rep", F.xxhash64("region", F.least("k", "j"), F.greatest("k", "j")).alias("region"), "tree", F.col("region").alias("whole")))
         out = fit if out is None else out.union(fit)
         if level == len(LEVELS) - 1 or dense.isEmpty():
             break
@@ -312,7 +319,7 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
 
     def mixed(parts: DataFrame) -> DataFrame:
         """Members of the regions that have several components."""
-        named = met.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("region", "tree", "rep", F.coalesce("component", "rep").alias("comp"))
+        named = met.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("region", "tree", "whole", "rep", F.coalesce("component", "rep").alias("comp"))
         several = named.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
         return store.written(named.join(several, "region", "left_semi"), "mixed")
 
@@ -329,9 +336,11 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     if not rest.isEmpty():
         ids = store.written(rest.select(F.col("rep").alias("doc_id")).distinct(), "unsettled")
         texts = store.written(docs.select("doc_id", "text").join(store.sized(ids), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "unsettled-texts")
-        size = rest.groupBy("rep").agg(F.count("*").alias("n")).join(texts, "rep").agg(F.sum(F.col("n") * F.octet_length("text"))).first()[0] or 0
+        trees = rest.groupBy("rep").agg(F.count("*").alias("n"), F.collect_set(F.struct("tree", F.coalesce("whole", "region").alias("whole"))).alias("met"))
+        texts = store.written(trees.join(texts, "rep"), "unsettled-trees")
+        size = texts.agg(F.sum(F.col("n") * (F.octet_length("text") + 12 * F.size("met")))).first()[0] or 0
         tasks = max(24, int(size // SETTLED) + 1)
-        rows = rest.join(texts.hint("merge"), "rep").withColumn("share", F.pmod(F.xxhash64("region"), F.lit(tasks)))
+        rows = rest.drop("whole").join(texts.drop("n").hint("merge"), "rep").withColumn("share", F.pmod(F.xxhash64("region"), F.lit(tasks)))
         parts = merged(parts, store.written(rows.groupBy("share").applyInArrow(_settle, "a long, b long"), "joins"))
     whole = parts
     to = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
