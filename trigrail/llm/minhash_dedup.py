@@ -2,8 +2,8 @@
 
 Each document's set of distinct five-word shingles (A-Z lower-cased; fewer words: the whole sequence
 as one) gets MINHASHES minhash values. A tree of the forest reads some of the values in an order of
-its own: documents sorted by that order are neighbours as far as their longest common prefix reaches,
-and a region is a run of documents whose common prefix has the depth of the level. LEVELS pairs a
+its own, and a region is the documents that agree on the first of them, as many as the depth of the
+level: tables of fixed prefixes stand in for orders sorted by signature. LEVELS pairs a
 depth with as many trees as catch a pair of similarity THRESHOLD with at least 0.998. A region too
 dense at one level is not searched there: its documents, all of them, go to the next level, which is
 deeper and has more trees. These read minhash values of their own, computed again from the texts, so that
