@@ -106,6 +106,17 @@ def mixed(spark):
     return spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, good int, pattern string")
 
 
+def test_short_texts_with_faults_are_judged(mixed):
+    short = {910: "water### house$$$ river### was$$$", 911: "water | house | river |", 912: "water house river", 913: "house"}
+    rows = mixed.sparkSession.createDataFrame([(d, t, 1, "z") for d, t in short.items()], mixed.schema)
+    got = {r.doc_id: r for r in quality.quality(mixed.unionByName(rows), keep=1.01).collect()}  # no score is enough
+    assert [got[d].kept for d in short] == [False, False, True, True]
+    blob = "QUJDREVGR0g" * 500
+    raw = [blob.encode(), "行".encode() * 300, b"water house", b"", b"=" * 5000]
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    assert quality.features(np.frombuffer(b"".join(raw), np.uint8), offs)[2].tolist() == [False, False, True, True, False]
+
+
 def test_quality(mixed):
     got = {r.doc_id: r for r in quality.quality(mixed).collect()}
     assert got.keys() == {*range(400), *range(900, 906)}

@@ -4,7 +4,8 @@ Heuristic labellers look at a text's statistics and vote bad, good or not at all
 maximisation over the counts of all vote patterns in the corpus estimates how often each labeller
 gives each vote on good and on bad texts, and with that each pattern's posterior. Posterior labels
 of a bounded sample train a logistic scorer of hashed features: words, the kinds of characters of
-words, and the statistics in steps. Every text is scored whole, and rejected if its score is below KEEP, unless it is too short to be voted on.
+words, and the statistics in steps. Every text is scored whole, and rejected if its score is below KEEP, unless it
+is too short to be voted on and shows no fault.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ STOP = (
 #: (name of the statistic, bad beyond, good within); a vote needs WORDS words.
 LABELLERS = (("symbols", 0.15, 0.02), ("bare", 0.15, 0.05), ("upper", 0.3, 0.15), ("again", 0.1, 0.03), ("commonest", 0.25, 0.15), ("lines", 0.3, 0.1), ("long", 0.1, 0.03), ("shouts", 0.2, 0.05), ("unstopped", 0.96, 0.9))
 WORDS = 10
+#: Statistics beyond which a text of fewer words shows a fault too; a few words are often unstopped, or one of them common.
+SIGNS = {"symbols": 0.15, "bare": 0.15, "upper": 0.5, "again": 0.5, "lines": 0.3, "long": 0.1, "shouts": 0.5}
 VOTE_BAD, VOTE_GOOD, NO_VOTE = 0, 1, 2
 #: Prior share of bad votes on good texts, with the weight of the whole corpus: labellers are set to be precise.
 ALARM = 0.005
@@ -106,6 +109,13 @@ def votes(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def exempt(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Texts that stay whatever their score: of too few words for votes, and without a fault's sign, or of a few bare signs."""
+    sign = [stats[:, STATS.index(name)] > most for name, most in SIGNS.items()]
+    signs = (stats[:, STATS.index("bare")] == 1) & (stats[:, STATS.index("long")] == 0)
+    return (n < WORDS) & (signs | ~np.any(sign, axis=0))
+
+
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of good by pattern, P(vote | class) [class, labeller, vote], P(class)); class 0 is good.
 
@@ -138,8 +148,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     return np.where((patterns == NO_VOTE).all(1), 1.0, share[:, 0]), like, prior
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Hashed features of each text, and its votes."""
+def features(data: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Hashed features of each text, its votes, and whether it is exempt."""
     stats, n, bounds, h, kinds = statistics(data, offs)
     word = (h >> np.uint64(64 - BITS)).astype(np.int64)
     kind = (tx.mix(kinds.astype(np.uint64) + np.uint64(1 << 40)) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -152,7 +162,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray,
         i2, c2 = np.unique(kind[a:b], return_counts=True)
         m = max(b - a, 1)
         out.append((np.concatenate((i1, i2, step[k])), np.concatenate((np.sqrt(c1 / m), np.sqrt(c2 / m), np.full(step.shape[1], 0.5)))))
-    return out, votes(stats, n)
+    return out, votes(stats, n), exempt(stats, n)
 
 
 def _code(v: np.ndarray) -> np.ndarray:
@@ -191,8 +201,8 @@ def quality(docs: DataFrame, *, keep: float = KEEP, sample: int = SAMPLE) -> Dat
     """One row per document: posterior (of good, by the votes), score (of the scorer, 0 to 1), kept.
 
     docs: doc_id, text; other columns are ignored. Kept are texts of a score of keep at least, and those
-    that no labeller can judge: texts of under WORDS words, null and empty ones get no votes and
-    posterior 1; those without a word have score 1 too. Rows of equal doc_id: see store.keyed.
+    of under WORDS words without a sign of a fault, or of bare signs only (exempt). Texts of under WORDS words, null and empty ones
+    get no votes and posterior 1; those without a word have score 1 too. Rows of equal doc_id: see store.keyed.
     """
     docs = store.keyed(docs)
     spark = docs.sparkSession
@@ -209,10 +219,10 @@ def quality(docs: DataFrame, *, keep: float = KEEP, sample: int = SAMPLE) -> Dat
         for batch in batches:
             data, offs = tx.buffers(batch.column(1))
             for i, j in tx.steps(offs):
-                x, v = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                x, v, stays = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 score = linear.sigmoid(np.array([float(w[f] @ val) for f, val in x]) + bias)
                 score[[len(f) == len(LABELLERS) for f, _ in x]] = 1.0
                 post = np.array([by_votes[c] for c in _code(v).tolist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(post), pa.array(score), pa.array((score >= keep) | (v == NO_VOTE).all(1))], names=["doc_id", "posterior", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(post), pa.array(score), pa.array((score >= keep) | stays)], names=["doc_id", "posterior", "score", "kept"])
 
     return docs.mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
