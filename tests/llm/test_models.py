@@ -51,6 +51,21 @@ def test_mixture_finds_known_proportions():
     assert np.allclose(share, [[0.25, 0.75]], atol=0.02)
 
 
+@pytest.mark.parametrize("block", [8_000_000, 12])
+def test_second_language_of_many(block, monkeypatch):
+    """A second language in other letters, less likely than eleven others on the whole text, is in the mixture."""
+    monkeypatch.setattr(language_id, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(7)
+    p = np.full((12, 400), 1e-7)
+    p[:11, :200] = rng.dirichlet(np.full(200, 5.0), 11)
+    p[11, 200:] = rng.dirichlet(np.full(200, 5.0))
+    p /= p.sum(1, keepdims=True)
+    mixed = np.round(6000 * (0.75 * p[0] + 0.25 * p[11])).astype(int)
+    rows = [(np.flatnonzero(c), c[c > 0]) for c in (mixed, np.round(6000 * p[3]).astype(int))]
+    lang, share, size = language_id.infer(rows, np.log(p).astype(np.float32))
+    assert lang.tolist() == [0, 3] and size.tolist() == [2, 1] and abs(share[0] - 0.75) < 0.03
+
+
 @pytest.fixture(scope="module")
 def talk(spark):
     rnd = random.Random(3)

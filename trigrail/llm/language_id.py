@@ -22,12 +22,14 @@ from trigrail.llm import linear, store
 from trigrail.llm import text as tx
 
 ORDERS, BITS, SMOOTH = (1, 2, 3), 16, 0.5
-#: Most documents of a language that are learned from; languages that a document's mixture is fitted over.
-SAMPLE, LIKELY = 4000, 8
+#: Most documents of a language that are learned from.
+SAMPLE = 4000
 #: Expectation-maximisation steps; what another language has to gain for each log of the number of n-grams.
 ROUNDS, PENALTY = 12, 12.0
 #: Characters that one step of the inference holds, about.
 STEP = 500_000
+#: Probabilities (n-grams times languages) that a block of documents holds, about.
+BLOCK = 8_000_000
 UNKNOWN = "und"
 
 
@@ -111,13 +113,21 @@ def mixture(p: np.ndarray, c: np.ndarray, of: np.ndarray, start: np.ndarray, use
 
 
 def infer(rows: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(language, its share, number of languages) of each document; every one of rows has n-grams."""
+    """(language, its share, number of languages) of each document; every one of rows has n-grams.
+
+    Mixtures are fitted over all languages, in blocks of documents.
+    """
+    offs = np.concatenate(([0], np.cumsum([len(b) for b, _ in rows])))
+    return tuple(np.concatenate(f) for f in zip(*(_infer(rows[i:j], logs) for i, j in tx.steps(offs, BLOCK // len(logs))), strict=True))
+
+
+def _infer(rows: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.concatenate(([0], np.cumsum([len(b) for b, _ in rows])))[:-1]
     of = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
     bins = np.concatenate([b for b, _ in rows])
     c = np.concatenate([n for _, n in rows]).astype(np.float32)
     alone = np.stack([np.add.reduceat(c * log[bins], start) for log in logs], 1)
-    order = np.argsort(-alone, axis=1, kind="stable")[:, :LIKELY]  # the likeliest languages, best first
+    order = np.argsort(-alone, axis=1, kind="stable")  # the likeliest languages first
     best, share, size = order[:, 0].copy(), np.ones(len(rows)), np.ones(len(rows), np.int64)
     top = alone[np.arange(len(rows)), best].astype(float)
     if order.shape[1] == 1:
