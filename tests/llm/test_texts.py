@@ -59,7 +59,18 @@ def test_merges_as_the_library(odd, own):
     encode, decode = bpe.encoder(ranks, P.PATTERN), bpe.decoder(ranks)
     ids = encode(odd)
     assert ids == [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in odd]
-    assert [decode(i) for i in ids] == [t.encode() for t in odd]
+    assert [b"".join(decode(i)) for i in ids] == [t.encode() for t in odd]
+
+
+def test_pieces_of_long_texts(odd, own, monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED", 3)
+    long = " ".join(odd) + " a b c"
+    assert all("".join(bpe.pieces(t, 7)) == t for t in [*odd, long])
+    monkeypatch.setattr(bpe.pieces, "__defaults__", (50,))
+    ranks = bpe.read_ranks(RANKS)
+    ids = bpe.encoder(ranks, P.PATTERN)([long, "", long[:1000]])
+    assert ids == [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in (long, "", long[:1000])]
+    assert b"".join(bpe.decoder(ranks)(ids[0])) == long.encode()
 
 
 def test_merge_order_when_a_merge_makes_a_lower_rank():
@@ -73,7 +84,9 @@ def test_merge_order_when_a_merge_makes_a_lower_rank():
         assert bpe.Replay(ranks).encode([w.encode() for w in words]) == [np.array(own.encode_ordinary(w), "<u4").tobytes() for w in words]
 
 
-def test_encode_decode(docs, nothing, corpus, own):
+@pytest.mark.parametrize("size", [bpe.SLICE, 2000])
+def test_encode_decode(docs, nothing, corpus, own, size, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", size)
     got = {r.doc_id: r for r in bpe.encode_decode(docs, RANKS, P.PATTERN).collect()}
     assert got.keys() == corpus.keys()
     for d, r in got.items():

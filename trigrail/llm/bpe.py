@@ -1,10 +1,12 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
-The distinct words of a slice of the corpus (SLICE bytes of text, so that memory is bounded) are laid
-out once. An inverted index leads from each mergeable pair, by its rank, to the places where it stands
-in any word; merges are replayed in rank order over all words at once, and each touches only the two
-neighbours of the merged pair, whose new pairs enter the index. Words met in an earlier slice of the
-same task are not replayed again. No row is shuffled: a word's ids depend on nothing but the ranks.
+Texts are cut into pre-tokens ("words") slice by slice (SLICE bytes of text); a slice is kept as the
+list of its distinct words and, of each document, the places in that list. The distinct words of the whole corpus are
+then replayed once: they are dealt by hash, laid out together, an inverted index leads from each
+mergeable pair, by its rank, to the places where it stands in any word; merges are replayed in rank
+order over all words at once, and each touches only the two neighbours of the merged pair, whose new
+pairs enter the index. The words' ids are joined to the slices' lists, and a slice and its list give the
+documents' ids. Texts are never shuffled: slices' lists of words, and places in them, are.
 
 A merge may make a pair of lower rank than its own, and then the word's other places of the current
 rank have to wait: they re-enter the index and come up after the lower rank.
@@ -16,18 +18,23 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trigrail.llm import store
+from trigrail.llm import text as tx
 
-SLICE = 12 << 20
-#: Most words whose ids one task remembers.
-REMEMBERED = 600_000
+#: Bytes of text in a slice (a longer text is one of its own); bytes of words that are replayed together; characters that are cut into words, and ids that are decoded, at once.
+SLICE, REPLAYED, PIECE, DECODED = 8 << 20, 1 << 20, 1 << 20, 1 << 16
+CODED = "slice long, docs binary, counts binary, codes binary, words array<binary>"
+WORD_IDS = "word binary, ids binary"
 RESULT = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -155,68 +162,156 @@ def pretokens(pattern: str):
     return units, matches.findall
 
 
-def encoder(ranks: dict[bytes, int], pattern: str):
-    """A function from texts to the ids of each (bytes, little-endian unsigned 32-bit integers)."""
-    replay = Replay(ranks)
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about size characters, cut only where units begin."""
+    begins, start = re.compile(r"(?<=\S) (?=\S)"), 0
+    while len(text) - start > size:
+        cut = begins.search(text, start + size)
+        if not cut:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def ragged(start: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the items of the runs which, end to end; start, lengths: of all runs."""
+    n = lengths[which]
+    return np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def coder(pattern: str) -> Callable[[list[str]], tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """A function from the texts of a slice to (distinct words, words of each text, places in the list of distinct ones)."""
     units, matches = pretokens(pattern)
-    known: dict[str, bytes] = {}
-    pieces: dict[str, bytes] = {}
+
+    def code(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        index: dict[str, int] = {}
+        rows, lengths = [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            for piece in pieces(text):
+                u = units(piece)
+                for x in set(u).difference(index):
+                    index[x] = len(index)
+                rows.append(np.fromiter(map(index.__getitem__, u), np.int32, len(u)))
+                lengths[k] += len(u)
+        words: dict[str, int] = {}
+        parts = [[words.setdefault(w, len(words)) for w in matches(u)] for u in index]
+        size = np.array([len(x) for x in parts], np.int64)
+        unit = np.concatenate([np.zeros(0, np.int32), *rows])
+        codes = np.array([w for x in parts for w in x], "<u4")[ragged(np.cumsum(size) - size, size, unit)] if len(unit) else np.zeros(0, "<u4")
+        ends = np.concatenate(([0], np.cumsum(size[unit]))) if len(unit) else np.zeros(1, np.int64)
+        counts = np.diff(ends[np.concatenate(([0], np.cumsum(lengths)))])
+        return [w.encode() for w in words], counts, codes
+
+    return code
+
+
+def together(counts: np.ndarray, codes: np.ndarray, ids: list[bytes]) -> Iterator[bytes]:
+    """The ids of each text of a slice; ids: of each of its distinct words."""
+    size = np.array([len(x) // 4 for x in ids], np.int64)
+    flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+    for a, b in pairwise(np.concatenate(([0], np.cumsum(counts))).tolist()):
+        yield flat[ragged(start, size, codes[a:b])].tobytes() if b > a else b""
+
+
+def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts, as one slice, to the ids of each (bytes, little-endian unsigned 32-bit integers)."""
+    replay, code = Replay(ranks), coder(pattern)
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED or len(pieces) > REMEMBERED:
-            known.clear()
-            pieces.clear()
-        rows = [units(t) for t in texts]
-        new = {u: matches(u) for u in set().union(*rows).difference(known)}
-        words = [*set().union(*new.values()).difference(pieces)]
-        pieces.update(zip(words, replay.encode([w.encode() for w in words]), strict=True))
-        for u, parts in new.items():
-            known[u] = b"".join(map(pieces.__getitem__, parts))
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+        words, counts, codes = code(texts)
+        return list(together(counts, codes, replay.encode(words)))
 
     return encode
 
 
-def decoder(ranks: dict[bytes, int]):
+def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], Iterator[bytes]]:
+    """A function from ids to the bytes that they stand for, in parts."""
     token = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         token[r] = t
-    return lambda ids: b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode(ids: bytes) -> Iterator[bytes]:
+        for i in range(0, len(ids), 4 * DECODED):
+            yield b"".join(map(token.__getitem__, np.frombuffer(ids[i : i + 4 * DECODED], "<u4").tolist()))
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, outputs: bool = True) -> DataFrame:
-    """One row per document: n_tokens, ids, decoded (outputs=False: both null), ids_sha256, decoded_sha256.
+    return decode
 
-    docs: doc_id, text; other columns are ignored. Null texts count as empty: no ids. Rows of equal
-    doc_id: see store.keyed. ranks: a rank file on the driver; its content travels.
-    """
-    docs = store.keyed(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+def _coded(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, decode = encoder(sent.value, pattern), decoder(sent.value)
-        held: list[tuple] = []
+        code = coder(pattern)
+        held: list[tuple[int, str]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = encode([t for _, t in held])
-            back = [decode(i) for i in ids]
-            digest = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, back)]
-            none = [None] * len(ids)
-            columns = [[d for d, _ in held], [len(i) // 4 for i in ids], ids if outputs else none, back if outputs else none, *digest]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            words, counts, codes = code([t for _, t in held])
+            ids = np.array([d for d, _ in held], "<i8")
+            row = [[secrets.randbits(62)], [ids.tobytes()], [counts.astype("<i8").tobytes()], [codes.tobytes()], [words]]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["slice", "docs", "counts", "codes", "words"])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or ""
-                held.append((ids[k], text))
-                size += len(text)
-                if size >= SLICE:
+            _, offs = tx.buffers(batch.column(1))
+            for k, n in enumerate(np.diff(offs).tolist()):
+                if held and size + n > SLICE:
                     yield flush()
                     held, size = [], 0
+                held.append((ids[k], batch.column(1)[k].as_py() or ""))
+                size += n
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, RESULT)
+    return run
+
+
+def _replayed(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = Replay(sent.value)
+        for batch in batches:
+            _, offs = tx.buffers(batch.column(0))
+            for i, j in tx.steps(offs, REPLAYED):
+                words = batch.column(0).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([words, pa.array(replay.encode(words.to_pylist()), pa.binary())], names=["word", "ids"])
+
+    return run
+
+
+def _joined(sent, ids: bool, decoded: bool):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def run(slices: pa.Table, words: pa.Table) -> pa.Table:
+        decode = decoder(sent.value)
+        known = words.column("ids").combine_chunks().take(pa.array(np.argsort(words.column("k").to_numpy(), kind="stable"))).to_pylist()
+        out: list[list] = [[] for _ in schema]
+        for docs, counts, codes in zip(*(slices.column(c).to_pylist() for c in ("docs", "counts", "codes")), strict=True):  # one row
+            texts = together(np.frombuffer(counts, "<i8"), np.frombuffer(codes, "<u4"), known)
+            for doc, got in zip(np.frombuffer(docs, "<i8").tolist(), texts, strict=True):
+                digest, back = hashlib.sha256(), []
+                for part in decode(got):
+                    digest.update(part)
+                    if decoded:
+                        back.append(part)
+                row = (doc, len(got) // 4, got if ids else None, b"".join(back) if decoded else None, hashlib.sha256(got).hexdigest(), digest.hexdigest())
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """One row per document: n_tokens, ids (ids=False: null), decoded (decoded=False: null), ids_sha256, decoded_sha256.
+
+    docs: doc_id, text; other columns are ignored. Null texts count as empty: no ids. Rows of equal
+    doc_id: see store.keyed. ranks: a rank file on the driver; its content travels.
+    """
+    docs = store.keyed(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+    slices = store.written(docs.mapInArrow(tx.lean(_coded(pattern)), CODED), "slices")
+    words = slices.select("slice", F.posexplode("words").alias("k", "word"))
+    known = store.written(words.select("word").distinct().mapInArrow(tx.lean(_replayed(sent)), WORD_IDS), "replayed")
+    listed = words.join(known.hint("merge"), "word").select(F.col("slice").alias("of"), "k", "ids")
+    texts = slices.select("slice", "docs", "counts", "codes")
+    return texts.groupBy("slice").cogroup(listed.groupBy("of")).applyInArrow(tx.lean(_joined(sent, ids, decoded)), RESULT)
