@@ -20,9 +20,15 @@ def test_components(spark):
         assert got == plain.components(nodes, [e for e in edges if e[0] != e[1]])
 
 
-@pytest.mark.parametrize("size", [20, 4])
-def test_substring(docs, corpus, size, monkeypatch):
+#: So many buckets and shares that fingerprints go out and come back in two steps.
+TWO_STEPS = {"BUCKET": 60, "FAN": 7, "SHARE": 2000}
+
+
+@pytest.mark.parametrize(("size", "steps"), [(20, {}), (4, {}), (4, TWO_STEPS)])
+def test_substring(docs, corpus, size, steps, monkeypatch):
     monkeypatch.setattr(fingerprints, "SLICE", 500)
+    for name, value in steps.items():
+        monkeypatch.setattr(fingerprints, name, value)
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, size=size).collect()}
     assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in got.items()} == plain.cut_windows(corpus, size)
     for d, r in got.items():
@@ -32,9 +38,21 @@ def test_substring(docs, corpus, size, monkeypatch):
         assert all(b < c for (_, b), (c, _) in itertools.pairwise(spans))
 
 
-@pytest.mark.parametrize(("size", "gram", "hot"), [(200, 50, 20_000), (30, 10, 20_000), (30, 10, 1)])
-def test_suffix(docs, corpus, size, gram, hot, monkeypatch):
+def test_rows_of_fingerprints_grow_as_the_corpus():
+    """Rows that leave the first step, and that come of the second: no more than so many for each slice."""
+    for prints in (1e9, 1.7e11, 1e13):
+        deal = fingerprints.Deal(prints, 6 * prints)
+        slices = prints / fingerprints.SLICE
+        assert deal.coarse <= fingerprints.FAN and slices * deal.coarse <= prints / 900
+        assert prints / deal.coarse / deal.fine <= fingerprints.BUCKET
+
+
+@pytest.mark.parametrize(("size", "gram", "hot", "steps"), [(200, 50, 20_000, {}), (30, 10, 20_000, {}), (30, 10, 1, {}), (30, 10, 1, TWO_STEPS)])
+def test_suffix(docs, corpus, size, gram, hot, steps, monkeypatch):
     monkeypatch.setattr(fingerprints, "SLICE", 500)
+    monkeypatch.setattr(tx, "BLOCK", 1000)
+    for name, value in steps.items():
+        monkeypatch.setattr(fingerprints, name, value)
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, size=size, gram=gram, hot=hot).collect()}
     assert {d: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for d, r in got.items()} == plain.cut_bytes(corpus, size)
     for d, r in got.items():
@@ -45,13 +63,27 @@ def test_suffix(docs, corpus, size, gram, hot, monkeypatch):
 
 
 def test_maximal_repeats(docs, corpus):
-    raw = {d: (t or "").encode() for d, t in corpus.items()}
-    found = suffix_dedup.maximal_repeats(docs, size=30, gram=10).collect()
-    assert found
-    for r in found:
-        at = [(o.doc_id, o.start) for o in r.occurrences]
-        assert len(at) > 1 and len(set(at)) == len(at) and r.length >= 30
-        assert len({raw[d][s : s + r.length] for d, s in at}) == 1
+    """Every set of places where a string stands several times is a group, moved to its left end; groups are repeats and no more than that."""
+    raw, size = {d: (t or "").encode() for d, t in corpus.items()}, 30
+    groups = {}
+    for r in suffix_dedup.maximal_repeats(docs.where("doc_id <> 1006"), size=size, gram=10).collect():
+        groups.setdefault((r.gram, r.nth, r.length), []).append((r.doc_id, r.start))
+    places = {}
+    for (*_, length), at in groups.items():
+        assert len(at) > 1 and len(set(at)) == len(at) and length >= size
+        assert len({raw[d][s : s + length] for d, s in at}) == 1
+        for d, s in at:
+            places.setdefault((d, s), set()).add((length, frozenset(at)))
+    where = {}
+    for d, t in raw.items():
+        for i in range(len(t) - size + 1 if d != 1006 else 0):
+            where.setdefault(t[i : i + size], []).append((d, i))
+    assert sum(len(x) > 1 for x in where.values()) > 100
+    for at in where.values():
+        if len(at) > 1:
+            d, s = at[0]
+            lefts = range(min(i for _, i in at) + 1)
+            assert any(length >= size + left and all_ == {(x, i - left) for x, i in at} for left in lefts for length, all_ in places.get((d, s - left), ()))
 
 
 def test_stack_scan():

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trigrail.llm import fingerprints as fp
 from trigrail.llm import store
 from trigrail.llm import text as tx
 
@@ -174,12 +175,6 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
-def ragged(start: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Places of the items of the runs which, end to end; start, lengths: of all runs."""
-    n = lengths[which]
-    return np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def coder(pattern: str) -> Callable[[list[str]], tuple[list[bytes], np.ndarray, np.ndarray]]:
     """A function from the texts of a slice to (distinct words, words of each text, places in the list of distinct ones)."""
     units, matches = pretokens(pattern)
@@ -198,7 +193,7 @@ def coder(pattern: str) -> Callable[[list[str]], tuple[list[bytes], np.ndarray,
         parts = [[words.setdefault(w, len(words)) for w in matches(u)] for u in index]
         size = np.array([len(x) for x in parts], np.int64)
         unit = np.concatenate([np.zeros(0, np.int32), *rows])
-        codes = np.array([w for x in parts for w in x], "<u4")[ragged(np.cumsum(size) - size, size, unit)] if len(unit) else np.zeros(0, "<u4")
+        codes = np.array([w for x in parts for w in x], "<u4")[fp.ragged(np.cumsum(size) - size, size, unit)] if len(unit) else np.zeros(0, "<u4")
         ends = np.concatenate(([0], np.cumsum(size[unit]))) if len(unit) else np.zeros(1, np.int64)
         counts = np.diff(ends[np.concatenate(([0], np.cumsum(lengths)))])
         return [w.encode() for w in words], counts, codes
@@ -211,7 +206,7 @@ def together(counts: np.ndarray, codes: np.ndarray, ids: list[bytes]) -> Iterato
     size = np.array([len(x) // 4 for x in ids], np.int64)
     flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
     for a, b in pairwise(np.concatenate(([0], np.cumsum(counts))).tolist()):
-        yield flat[ragged(start, size, codes[a:b])].tobytes() if b > a else b""
+        yield flat[fp.ragged(start, size, codes[a:b])].tobytes() if b > a else b""
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list[bytes]]:

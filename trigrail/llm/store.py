@@ -71,5 +71,5 @@ def keyed(docs: DataFrame, *others: str) -> DataFrame:
     twice = written(twice, "twice")
     rest = [F.col(n) for n in others]
     pick = F.min(F.struct(F.col("text").isNull().alias("none"), "text", *rest)).alias("one")
-    some = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(pick)
+    some = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(pick).sortWithinPartitions("doc_id")  # the same order if a task runs again
     return docs.join(twice, "doc_id", "left_anti").unionByName(some.select("doc_id", "one.text", *[f"one.{n}" for n in others]))

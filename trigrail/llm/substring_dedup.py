@@ -31,9 +31,8 @@ RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:lo
 def _windows(size: int) -> fp.Prints:
     def prints(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end, bounds = tx.words(data, offs)
-        h = tx.word_hashes(data, start, end)
         ok = tx.inside(bounds, size)
-        p, salt = tx.window_hashes(h, size)[ok], tx.window_hashes(h, size, seed=7)[ok]
+        p, salt = (tx.window_hashes(tx.word_hashes(data, start, end, seed), size, seed)[ok] for seed in (0, 7))
         n = np.maximum(np.diff(bounds) - size + 1, 0)
         return p, np.concatenate(([0], np.cumsum(n))), salt
 
@@ -43,7 +42,7 @@ def _windows(size: int) -> fp.Prints:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _cut(ids: list, column: pa.Array, marks: fp.Marks | None, size: int, buckets: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _cut(ids: list, column: pa.Array, marks: fp.Marks | None, size: int, deal: fp.Deal, texts: bool) -> Iterator[pa.RecordBatch]:
     """Removes the words that flagged windows cover."""
     prints = _windows(size)
     data, offs = tx.buffers(column)
@@ -52,8 +51,8 @@ def _cut(ids: list, column: pa.Array, marks: fp.Marks | None, size: int, buckets
         start, end, bounds = tx.words(part, o)
         raw = part.tobytes()
         if marks is not None:
-            _, pb, salt = prints(part, o)
-            bucket = fp.bucket_of(salt, buckets)
+            p, pb, salt = prints(part, o)
+            bucket = deal.bucket(p, salt)
         out: list[list] = [[] for _ in SCHEMA]
         for k in range(j - i):
             s, e = start[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]]
@@ -74,17 +73,17 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, texts: bool = True) ->
     """
     docs = store.keyed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    flags, buckets, shares = fp.repeated(docs, _windows(size), total / WORD, total, earlier=True)
+    flags, deal = fp.repeated(docs, _windows(size), total / WORD, total, earlier=True)
     flags = store.written(flags, "repeats")
     ids = store.sized(store.written(fp.flagged(flags), "repeat-ids"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _cut(batch.column(0).to_pylist(), batch.column(1), None, size, buckets, texts)
+            yield from _cut(batch.column(0).to_pylist(), batch.column(1), None, size, deal, texts)
 
     def part(rows: pa.Table, marks: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_cut(rows.column("doc_id").to_pylist(), rows.column("text"), fp.Marks(marks), size, buckets, texts), SCHEMA)
+        return pa.Table.from_batches(_cut(rows.column("doc_id").to_pylist(), rows.column("text"), fp.Marks(marks), size, deal, texts), SCHEMA)
 
-    clean = docs.join(ids, "doc_id", "left_anti").mapInArrow(whole, RESULT)
-    found = docs.join(ids, "doc_id", "left_semi").withColumn("share", fp.share_of(shares))
-    return clean.unionByName(found.groupBy("share").cogroup(flags.groupBy("share")).applyInArrow(part, RESULT))
+    clean = docs.join(ids, "doc_id", "left_anti").mapInArrow(tx.lean(whole), RESULT)
+    found = docs.join(ids, "doc_id", "left_semi").withColumn("share", deal.share())
+    return clean.unionByName(found.groupBy("share").cogroup(flags.groupBy("share")).applyInArrow(tx.lean(part), RESULT))
