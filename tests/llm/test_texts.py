@@ -129,6 +129,47 @@ def test_tiles_like_the_published_algorithm():
         assert sorted(got) == sorted(want)
 
 
+def test_repeated_words_make_no_square_of_matches():
+    items = decontaminate.Items([0], pa.array(["a " * 1000]), 5)
+    h, _ = decontaminate.tokens(np.frombuffer(b"a " * 20000, np.uint8), np.array([0, 40000]))
+    size, matches = items.shared(h)[0]
+    assert len(matches) < 21000
+    assert decontaminate.tile(matches, size, 1000) == [(0, 0, 1000)]
+
+
+def test_tokens_of_other_scripts():
+    say = "«Don’t» stop—now… ÉTÉ naïve 東京タワー x2 ไทย"
+    raw = say.encode()
+    _, bounds = decontaminate.tokens(np.frombuffer(raw + b"ab", np.uint8), np.array([0, len(raw), len(raw), len(raw) + 2]))
+    assert bounds.tolist() == [0, 15, 15, 16]  # don t stop now été naïve, five alone, x2, three alone
+    one, _ = decontaminate.tokens(np.frombuffer("été".encode(), np.uint8), np.array([0, 5]))
+    two, _ = decontaminate.tokens(np.frombuffer("ÉTÉ!".encode(), np.uint8), np.array([0, 6]))
+    assert (one == two).all()
+
+
+def test_leaks_like_brute_force(spark):
+    rnd = random.Random(8)
+    say = lambda n: [rnd.choice("abcdefgh") + rnd.choice(["", "", "x", "東"]) for _ in range(n)]
+    split = lambda t: t.replace("東", " 東 ").split()
+    items = {k: " ".join(say(rnd.randint(1, 25))) for k in range(12)} | {12: "a " * 30, 13: "東" * 9}
+    docs = {}
+    for d in range(40):
+        x = items[rnd.randrange(14)].split()
+        cut = rnd.randint(0, len(x))
+        docs[d] = " ".join([*say(rnd.randint(0, 15)), *x[cut:], *say(rnd.randint(0, 4)), *x[:cut], *say(rnd.randint(0, 10))])
+    docs |= {40: "a " * 200, 41: None, 42: ""}
+    want = {}
+    for d, t in docs.items():
+        for k, u in items.items():
+            doc, item = split(t or ""), split(u)
+            tiles = plain_tiles(item, doc, min(5, len(item)))
+            if sum(n for *_, n in tiles) >= 0.5 * len(item):
+                want[d, k] = (len(item), sum(n for *_, n in tiles), len(tiles), max(n for *_, n in tiles))
+    found = decontaminate.leaks(spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()
+    assert len(want) > 40
+    assert {(r.doc_id, r.item_id): (r.n_tokens, r.n_covered, r.n_tiles, r.longest_tile) for r in found} == want
+
+
 def test_leaks(spark, docs, nothing, corpus):
     words = corpus[0].split()
     bench = [(1, " ".join(words[:30])), (2, " ".join(words[20:28] + ["q"] * 4 + words[3:12])), (3, "never seen anywhere at all in it"), (4, None), (5, ""), (None, corpus[0]), (6, "ONE, two!"), (7, " ".join(words[:6] + ["q"] * 20))]
