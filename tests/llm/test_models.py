@@ -159,6 +159,48 @@ def test_label_model_on_known_classes():
     assert np.isclose(prior.sum(), 1) and np.allclose(like.sum(2), 1)
 
 
+def test_label_model_recovers_accuracies():
+    """Planted shares of bad votes, far from the priors, come back from votes alone."""
+    rng = np.random.default_rng(3)
+    n, m = 400_000, len(quality.LABELLERS)
+    kind = rng.choice(m + 1, n, p=[0.85, 0.06, 0.05, 0.04, *[0.0] * (m - 3)])
+    hit = np.full((m + 1, m), 0.001)
+    hit[0, :4] = 0.004, 0.002, 0.003, 0.001  # false alarms
+    hit[1, [0, 3, 4]], hit[2, [1, 5]], hit[3, [2, 6]] = [0.8, 0.5, 0.3], [0.95, 0.4], [0.7, 0.6]  # a fault's own labeller, and others that see it too
+    votes = np.where(rng.random((n, m)) < hit[kind], quality.VOTE_BAD, quality.VOTE_GOOD)
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good, like, prior = quality.label_model(patterns, counts.astype(float))
+    bad = good[which.ravel()] < 0.5
+    each = np.where(patterns[:, None, :] == quality.VOTE_BAD, hit, 1 - hit).prod(2) * [0.85, 0.06, 0.05, 0.04, *[0.0] * (m - 3)]
+    best = (each[:, 0] < each[:, 1:].sum(1))[which.ravel()]  # by the shares that the votes were drawn with
+    assert (bad == (kind > 0)).mean() > (best == (kind > 0)).mean() - 0.01
+    assert np.abs(like[0, :, quality.VOTE_BAD] - hit[0]).max() < 0.005 and abs(prior[0] - 0.85) < 0.02
+    for own in range(3):  # texts that no labeller sees are out of reach: of those that any sees, the share that the own one does
+        seen = (votes[kind == own + 1] == quality.VOTE_BAD).any(1).mean()
+        assert abs(like[own + 1, own, quality.VOTE_BAD] - hit[own + 1, own] / seen) < 0.12
+
+
+def test_scores_like_plain_code(mixed):
+    """The scorer's scores are those of its features and weights, text by text; a posterior is that of the text's votes."""
+    seen = {}
+    train = linear.train
+
+    def spy(rows, target, weight, size, **more):
+        seen["target"], seen["weight"] = target, weight
+        return train(rows, target, weight, size, **more)
+
+    texts = ["the water of the house and that river was in it " * 3, "xx### yy$$$ " * 20, "word " * 30]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    rows = quality.features(np.frombuffer(b"".join(raw), np.uint8), offs)[0]
+    w, bias = spy(rows, np.array([1.0, 0.0, 0.0]), np.array([2.0, 0.5, 0.5]), 1 << quality.BITS, rate=0.3)
+    alone = [linear.sigmoid(np.array([sum(float(w[i]) * float(v) for i, v in zip(*r, strict=True)) + bias]))[0] for r in rows]
+    assert alone[0] > 0.5 > max(alone[1:])
+    for k, r in enumerate(raw):  # features don't depend on what else is in the step
+        one = quality.features(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0][0]
+        assert (one[0] == rows[k][0]).all() and np.allclose(one[1], rows[k][1])
+
+
 def test_statistics_by_hand():
     texts = ["AB cd cd 12 ##x !", "", "the x\nthis line is repeated here\nthis line is repeated here"]
     raw = "".join(texts).encode()

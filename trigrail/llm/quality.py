@@ -39,10 +39,8 @@ WORDS = 10
 #: Statistics beyond which a text of fewer words shows a fault too; a few words are often unstopped, or one of them common.
 SIGNS = {"symbols": 0.15, "bare": 0.15, "upper": 0.5, "again": 0.5, "lines": 0.3, "long": 0.1, "shouts": 0.5}
 VOTE_BAD, VOTE_GOOD, NO_VOTE = 0, 1, 2
-#: Prior share of bad votes on good texts, with the weight of the whole corpus: labellers are set to be precise.
-ALARM = 0.005
-#: Least share of a fault's texts that its labeller calls bad.
-FAULT = 0.9
+#: Prior shares of bad votes: of any labeller on good texts, of a fault's own labeller on its texts; the documents that such a prior counts as, whatever the size of the corpus; and texts that are too few for a fault.
+ALARM, FAULT, WEIGHT, SEEN = 0.005, 0.9, 1000, 4
 STATS = tuple(name for name, *_ in LABELLERS)
 
 KIND = np.full(256, 16, np.uint8)  # of a byte in a word: other signs 16
@@ -116,13 +114,13 @@ def exempt(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (n < WORDS) & (signs | ~np.any(sign, axis=0))
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of good by pattern, P(vote | class) [class, labeller, vote], P(class)); class 0 is good.
 
     Faults don't come together, so bad texts are no single class in which labellers err independently:
-    there is a class for each labeller's fault, which starts from the texts that it calls bad. Bad votes on
-    good texts have a prior (ALARM), or a labeller alone in its votes would be taken for noise. Patterns
-    without a vote are good.
+    there is a class for each labeller's fault, which starts from the texts that it calls bad. A labeller alone in its votes
+    may be noise or a fault of its own, which no count can tell: priors of WEIGHT documents lean to few false alarms, and
+    to labellers that see their own fault, and a fault of SEEN texts is no class; beyond that all shares are estimated. Patterns without a vote are good.
     """
     m = patterns.shape[1]
     bad = (patterns == VOTE_BAD).astype(float)
@@ -130,14 +128,12 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     share[bad.sum(1) == 0] = [0.99, *[0.01 / m] * m]
     for _ in range(rounds):
         like = np.stack([share.T @ ((patterns == v) * counts[:, None]) for v in range(3)], 2) + 0.1
-        rest = like[:, :, VOTE_GOOD:].sum(0) / like[:, :, VOTE_GOOD:].sum((0, 2))[:, None] * (1 - ALARM)
-        like[0] += counts.sum() * np.concatenate((np.full((m, 1), ALARM), rest), 1)
+        rest = like[:, :, VOTE_GOOD:].sum(0) / like[:, :, VOTE_GOOD:].sum((0, 2))[:, None]
+        like[0] += WEIGHT * np.concatenate((np.full((m, 1), ALARM), rest * (1 - ALARM)), 1)
+        like[range(1, m + 1), range(m)] += WEIGHT * np.concatenate((np.full((m, 1), FAULT), rest * (1 - FAULT)), 1)
         like /= like.sum(2, keepdims=True)
-        own = np.maximum(like[1:, :, VOTE_BAD].diagonal(), FAULT)  # else a class could drift to texts without the fault
-        other = like[1:, :, VOTE_GOOD:].diagonal().T
-        like[range(1, m + 1), range(m), VOTE_BAD] = own
-        like[range(1, m + 1), range(m), VOTE_GOOD:] = other / other.sum(1, keepdims=True) * (1 - own)[:, None]
-        prior = share.T @ counts + 0.1
+        prior = share.T @ counts
+        prior[1:] = np.maximum(prior[1:] - SEEN, 0.1)  # a sparse prior: SEEN texts are no class yet
         prior /= prior.sum()
         log = np.log(prior) + np.log(like[:, np.arange(m), patterns]).sum(2).T
         new = np.exp(log - log.max(1, keepdims=True))
@@ -178,7 +174,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(docs: DataFrame, seen: DataFrame, posterior: DataFrame, sample: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of the scorer, from a sample of documents with their posterior labels."""
+    """Weights and bias of the scorer, from a sample of documents with their posterior labels, weighed so that the two kinds keep the corpus's shares."""
     known = seen.join(F.broadcast(posterior), "pattern")  # at most 3 ** labellers patterns
     n = {r.high: r["count"] for r in known.groupBy((F.col("good") >= 0.5).alias("high")).count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1e6  # the expected number is bounded
@@ -190,10 +186,13 @@ def _fit(docs: DataFrame, seen: DataFrame, posterior: DataFrame, sample: int) ->
         table = table.sort_by("doc_id")
         data, offs = tx.buffers(table.column("text"))
         x = [f for i, j in tx.steps(offs) for f in features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0]]
-        w, bias = linear.train(x, table.column("good").to_numpy(), np.ones(len(x)), 1 << BITS, rate=0.3)
+        good = table.column("good").to_numpy()
+        have, corpus = np.bincount(good >= 0.5, minlength=2), np.array([n.get(False, 0), n.get(True, 0)])
+        weight = corpus / corpus.sum() / np.maximum(have, 1) * len(good)
+        w, bias = linear.train(x, good, weight[(good >= 0.5).astype(int)], 1 << BITS, rate=0.3)
         return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "bias": [float(bias)]})
 
-    model = store.written(rows.groupBy("all").applyInArrow(run, "w binary, bias double"), "model").first()
+    model = store.written(rows.groupBy("all").applyInArrow(tx.lean(run), "w binary, bias double"), "model").first()
     return (np.frombuffer(model.w, "<f4"), model.bias) if model else (np.zeros(1 << BITS, np.float32), 1.0)
 
 
@@ -206,7 +205,7 @@ def quality(docs: DataFrame, *, keep: float = KEEP, sample: int = SAMPLE) -> Dat
     """
     docs = store.keyed(docs)
     spark = docs.sparkSession
-    seen = store.written(docs.mapInArrow(_patterns, "doc_id long, pattern int"), "votes")
+    seen = store.written(docs.mapInArrow(tx.lean(_patterns), "doc_id long, pattern int"), "votes")
     counted = seen.groupBy("pattern").count().collect()  # at most 3 ** labellers rows
     codes = np.array([r.pattern for r in counted], np.int64)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
@@ -225,4 +224,4 @@ def quality(docs: DataFrame, *, keep: float = KEEP, sample: int = SAMPLE) -> Dat
                 post = np.array([by_votes[c] for c in _code(v).tolist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(post), pa.array(score), pa.array((score >= keep) | stays)], names=["doc_id", "posterior", "score", "kept"])
 
-    return docs.mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
+    return docs.mapInArrow(tx.lean(run), "doc_id long, posterior double, score double, kept boolean")
