@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrail.llm import store
+from trigrail.llm import text as tx
 from trigrail.llm.components import components
 
 COSINE, WINDOW, LOSS, CELL = 0.98, 2.0, 1e-4, 1500
@@ -185,14 +186,14 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, cell: int = C
         rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("one")).select("vec_id", "one.embedding", "one.label")
     kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
     known = rows.where("label is not null").select("vec_id", F.col("embedding").cast(f"array<{'float' if kind == '<f4' else 'double'}>"), F.col("label").cast("string"))
-    valid = store.written(known.mapInArrow(_valid(kind), VALID), "vectors")
+    valid = store.written(known.mapInArrow(tx.lean(_valid(kind)), VALID), "vectors")
     digest = F.sha2(F.concat("label", F.lit("/"), F.hex("vector")).cast("binary"), 256)
     member = store.written(valid.select("vec_id", "label", digest.alias("digest")), "members")
     classes = store.written(member.groupBy("digest", "label").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     tables, lines = tables_for(most, cosine)
     reps = store.written(classes.select("id", "weight").join(valid.withColumnRenamed("vec_id", "id"), "id").select("id", "label", "vector", "weight"), "reps")
-    cells = store.written(reps.select("id", "label", "vector").mapInArrow(_cells(tables, lines, kind), "id long, label string, table int, cell binary"), "cells")
+    cells = store.written(reps.select("id", "label", "vector").mapInArrow(tx.lean(_cells(tables, lines, kind)), "id long, label string, table int, cell binary"), "cells")
     full = cells.groupBy("label", "table", "cell").agg(F.count("*").alias("n")).where("n > 1")
     dealt = cells.join(full, ["label", "table", "cell"]).withColumn("s", F.ceil(F.col("n") * 2 / cell).cast("int"))
     dealt = dealt.withColumn("s", F.when(F.col("n") <= cell, 1).otherwise(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
@@ -201,7 +202,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, cell: int = C
     dealt = dealt.select("id", "table", "block", (F.col("block") != F.col("j")).alias("cross"), tile.alias("tile"))
     shares = max(24, cells.count() // 20_000 + 1)
     dealt = dealt.join(reps.select("id", "weight", "vector"), "id").withColumn("share", F.pmod(F.col("tile"), F.lit(shares)))
-    met = dealt.groupBy("share").applyInArrow(_meet(tables, lines, cosine, kind), MET)
+    met = dealt.groupBy("share").applyInArrow(tx.lean(_meet(tables, lines, cosine, kind)), MET)
     met = store.written(met, "met")
     parts = components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))

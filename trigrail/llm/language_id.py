@@ -89,7 +89,7 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
             total += np.frombuffer(c.as_py(), "<f4")
         return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary")
+    sums = rows.mapInArrow(tx.lean(count), "lang string, counts binary").groupBy("lang").applyInArrow(tx.lean(add), "lang string, counts binary")
     got = sorted((r.lang, np.frombuffer(r.counts, "<f4")) for r in store.written(sums, "ngrams").collect())  # a row a language
     if not got:
         return [], np.zeros((0, 1 << BITS), np.float32)
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     lang[full], share[full], size[full] = infer([r for r, f in zip(rows, full, strict=True) if f], logs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(names[lang].tolist(), pa.string()), pa.array(share), pa.array(size)], names=["doc_id", "lang_pred", "score", "n_langs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs long")
+    return docs.select("doc_id", "text").mapInArrow(tx.lean(run), "doc_id long, lang_pred string, score double, n_langs long")
 
 
 def languages(docs: DataFrame, *, folds: int = 3, held: int = 1) -> DataFrame:

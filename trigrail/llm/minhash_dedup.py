@@ -269,14 +269,14 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     some = store.written(docs.select("doc_id", "text").join(store.sized(store.written(ids, "pair-ids")), "doc_id", "left_semi"), "pair-texts")
     left, right = some.select(F.col("doc_id").alias("a"), F.col("text").alias("t1")), some.select(F.col("doc_id").alias("b"), F.col("text").alias("t2"))
     both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return store.written(both.select("a", "b", "t1", "t2").mapInArrow(_similar, "a long, b long, linked boolean"), "links")
+    return store.written(both.select("a", "b", "t1", "t2").mapInArrow(tx.lean(_similar), "a long, b long, linked boolean"), "links")
 
 
 def _regions(docs: DataFrame, reps: DataFrame, region: int) -> DataFrame:
     """(rep, region, tree, whole): the regions of every level that are to be compared; of a block, whole is the region that it is of."""
     out, search = None, reps.select("rep", "sig")
     for level, (depth, trees) in enumerate(LEVELS):
-        rows = search.mapInArrow(_prefixes(level, depth, trees), "rep long, region long, tree int")
+        rows = search.mapInArrow(tx.lean(_prefixes(level, depth, trees)), "rep long, region long, tree int")
         rows = store.written(rows, "prefixes")
         size = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
         met = store.written(rows.join(size, "region").select("rep", "region", "tree", "n"), "regions")
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     and are linked with nothing. Rows of equal doc_id: see store.keyed.
     """
     docs = store.keyed(docs)
-    sketch = store.written(docs.mapInArrow(_sketch, SKETCH), "sketches")
+    sketch = store.written(docs.mapInArrow(tx.lean(_sketch), SKETCH), "sketches")
     classes = store.written(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bits")
     met = store.written(_regions(docs, reps, region), "met")
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
 
     def candidates(rows: DataFrame, first: bool) -> DataFrame:
         rows = rows.join(some, "rep").select("region", "rep", "comp", "bits", F.pmod(F.xxhash64("region"), F.lit(shares)).alias("share"))
-        found = rows.groupBy("share").applyInArrow(_compare(first), "a long, b long, near double")
+        found = rows.groupBy("share").applyInArrow(tx.lean(_compare(first)), "a long, b long, near double")
         if first:
             one = found.groupBy("b").agg(F.max(F.struct("near", (-F.col("a")).alias("a"))).alias("to"))
             return one.select((-F.col("to.a")).alias("a"), "b")
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
         size = texts.agg(F.sum(F.col("n") * (F.octet_length("text") + 12 * F.size("met")))).first()[0] or 0
         tasks = max(24, int(size // SETTLED) + 1)
         rows = rest.drop("whole").join(texts.drop("n").hint("merge"), "rep").withColumn("share", F.pmod(F.xxhash64("region"), F.lit(tasks)))
-        parts = merged(parts, store.written(rows.groupBy("share").applyInArrow(_settle, "a long, b long"), "joins"))
+        parts = merged(parts, store.written(rows.groupBy("share").applyInArrow(tx.lean(_settle), "a long, b long"), "joins"))
     whole = parts
     to = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(to, ["d1", "d2"], "left")

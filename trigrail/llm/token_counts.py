@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigrail.llm import store
+from trigrail.llm import text as tx
 
 LIMIT = 4096
 #: Most pieces of text whose counts one task remembers.
@@ -127,7 +128,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = LI
                 digests = [hashlib.sha256(t.encode()).digest() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * len(texts)), pa.array(np.array(count(texts), np.int64))], names=["digest", "version", "n_tokens"])
 
-    fresh = docs.join(store.sized(misses), "doc_id", "left_semi").select("text").mapInArrow(encode, CACHE)
+    fresh = docs.join(store.sized(misses), "doc_id", "left_semi").select("text").mapInArrow(tx.lean(encode), CACHE)
     fresh.write.mode("append").option("compression", "zstd").parquet(cache)
     out = seen.join(_read(docs, cache, version), "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

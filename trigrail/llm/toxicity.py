@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
         ratio, w, bias = _fit([t or "" for t in table.column("text").to_pylist()], toxic, weight)
         return pa.table({"ratio": pa.array([ratio.astype("<f4").tobytes()], pa.binary()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "bias": [float(bias)]})
 
-    model = store.written(rows.groupBy("all").applyInArrow(run, "ratio binary, w binary, bias double"), "model").first()
+    model = store.written(rows.groupBy("all").applyInArrow(tx.lean(run), "ratio binary, w binary, bias double"), "model").first()
     return np.frombuffer(model.ratio, "<f4"), np.frombuffer(model.w, "<f4"), model.bias
 
 
@@ -94,7 +94,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = linear.sigmoid(np.array([float(w[r] @ v) for r, v in (_scaled(r, ratio) for r in rows)]) + bias)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tx.lean(run), "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5) -> DataFrame:
