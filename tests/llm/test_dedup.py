@@ -8,10 +8,35 @@ import plain
 import pyarrow as pa
 import pytest
 
-from trigrail.llm import components, embedding_dedup, fingerprints, minhash_dedup, substring_dedup, suffix_dedup
+from trigrail.llm import components, embedding_dedup, fingerprints, minhash_dedup, store, substring_dedup, suffix_dedup
 from trigrail.llm import text as tx
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, how, monkeypatch):
+    monkeypatch.setattr(store, "HOT", 20)
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else None if k % 10 == 0 else f"k{k % 7}") for k in range(200)], "id long, key string")
+    table = spark.createDataFrame([("hot", 1), *((f"k{k}", k) for k in range(5))], "key string, v int")
+    got = store.spread_join(rows, table, ["key"], "id", how)
+    assert got.columns == ["key", "id", "v"] and sorted(got.collect(), key=str) == sorted(rows.join(table, "key", how).collect(), key=str)
+
+
+def test_best_of_blocks_is_the_best_of_all():
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 3, (300, 128)).astype(np.uint8)
+    bits[::3] = bits[0]
+    comp = rng.integers(0, 40, 300)
+    x, y, near = (np.concatenate(f) for f in zip(*minhash_dedup.across(bits, comp), strict=True))
+    want = {}
+    for of in (comp[x], comp[y]):
+        for c in np.unique(of):
+            at = np.flatnonzero(of == c)
+            for k in sorted(at, key=lambda i: (-near[i], x[i], y[i]))[: minhash_dedup.BEST]:
+                want[int(x[k]), int(y[k])] = True
+    a, b, _ = minhash_dedup.best(bits, comp)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want.keys()
+
+
 def test_components(spark):
     rnd = np.random.default_rng(3)
     for edges in ([], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(50)] + [(100, 101), (100, 101)], rnd.integers(0, 80, (60, 2)).tolist()):

@@ -208,6 +208,6 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, cell: int = C
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     to = classes.join(links, "id", "left").join(parts, "id", "left")
     to = to.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("c"))
-    out = rows.select("vec_id").join(member.join(to, "digest").select("vec_id", "links", "c"), "vec_id", "left")
+    out = rows.select("vec_id").join(store.spread_join(member, to, ["digest"], "vec_id").select("vec_id", "links", "c"), "vec_id", "left")
     own = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept"))

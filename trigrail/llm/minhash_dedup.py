@@ -157,9 +157,8 @@ def across(bits: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield x + k, y, near[x, y]
 
 
-def best(bits: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of across() what is among the BEST of either component."""
-    x, y, near = (np.concatenate(f) for f in zip(*across(bits, comp), strict=True))
+def _foremost(x: np.ndarray, y: np.ndarray, near: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that are among the BEST of either component."""
     keep = np.zeros(len(x), bool)
     for of in (comp[x], comp[y]):
         order = np.lexsort((y, x, -near, of))
@@ -170,6 +169,15 @@ def best(bits: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return x[keep], y[keep], near[keep]
 
 
+def best(bits: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of across() what is among the BEST of either component, kept as blocks come, so that few candidates are held at once."""
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    for block in across(bits, comp):
+        if len(block[0]):
+            held = _foremost(*(np.concatenate(f) for f in zip(held, block, strict=True)), comp)
+    return held
+
+
 def _compare(first: bool):
     """Candidates in the regions of one share: with leaders (first), or the best across components."""
 
@@ -344,6 +352,6 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
         parts = merged(parts, store.written(rows.groupBy("share").applyInArrow(tx.lean(_settle), "a long, b long"), "joins"))
     whole = parts
     to = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(to, ["d1", "d2"], "left")
+    out = store.spread_join(sketch.select("doc_id", "n_shingles", "d1", "d2"), to, ["d1", "d2"], "doc_id", "left")
     own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("c")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))

@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a key table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Rows from which on a key of spread_join is dealt to several tasks, and to how many.
+HOT, SALT = 1000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"file://{_own()}"
+
+
+@cache
+def _own() -> str:
+    """A folder for the local sessions of this process, gone at its end."""
     own = tempfile.mkdtemp(prefix="trigrail-")
     atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    return own
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +61,22 @@ def sized(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys.hint("merge")
 
 
+def spread_join(rows: DataFrame, keyed_by: DataFrame, on: list[str], salt: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row for each value of on; a value that many rows have is dealt to SALT tasks.
+
+    Which values these are is counted first (HOT rows and more, so at most one in HOT of the rows); only their rows of keyed_by are repeated. salt: a column of rows that tells them apart.
+    """
+    hot = written(rows.groupBy(*on).count().where(F.col("count") >= HOT).select(*on, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(keyed_by, on, how)
+    few = sized(hot)
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SALT))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(few, on, "left").withColumn("_part", part).drop("_hot")
+    parts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    copied = keyed_by.join(few, on, "left").withColumn("_part", parts).drop("_hot")
+    return dealt.join(copied, [*on, "_part"], how).drop("_part")
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: a table's other columns, whatever they are called, never reach an operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])

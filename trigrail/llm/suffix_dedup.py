@@ -333,7 +333,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     content = F.coalesce("text", F.lit(""))
     info = store.written(docs.select("doc_id", F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest")), "texts")
     several = store.written(info.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("digest", "first"), "several")
-    others = info.join(several, "digest").where("doc_id <> first").select("doc_id")
+    others = store.spread_join(info, several, ["digest"], "doc_id").where("doc_id <> first").select("doc_id")
     return info, several, store.written(others, "copies")
 
 
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, hot:
     found = docs.join(ids, "doc_id", "left_semi").withColumn("share", deal.share())
     cut = found.groupBy("share").cogroup(placed.groupBy("share")).applyInArrow(tx.lean(_cut(texts)), RESULT)
     empty = F.unhex(F.lit(""))
-    state = info.join(several.select("digest", F.lit(True).alias("twice")), "digest", "left").join(cut.hint("merge"), "doc_id", "left")
+    state = store.spread_join(info, several.select("digest", F.lit(True).alias("twice")), ["digest"], "doc_id", "left").join(cut.hint("merge"), "doc_id", "left")
     whole = F.col("twice") & (F.col("n_bytes") >= size)
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")

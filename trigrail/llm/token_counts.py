@@ -130,5 +130,5 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, *, limit: int = LI
 
     fresh = docs.join(store.sized(misses), "doc_id", "left_semi").select("text").mapInArrow(tx.lean(encode), CACHE)
     fresh.write.mode("append").option("compression", "zstd").parquet(cache)
-    out = seen.join(_read(docs, cache, version), "digest")
+    out = store.spread_join(seen, _read(docs, cache, version), ["digest"], "doc_id")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
