@@ -84,8 +84,12 @@ def test_remainder_bits(spark):
 
 def test_gaps_and_back(files):
     index = postings.build(files)
-    gaps = postings.gaps(index)
-    assert {(r.trigram, r.file_id) for r in postings.decoded(gaps).collect()} == {(r.trigram, r.file_id) for r in index.collect()}
+    want = [tuple(r) for r in postings.gaps(index).orderBy("trigram", "pos").collect()]
+    assert {r[0]: sum(x[3] for x in want if x[0] == r[0]) for r in want} == {r.trigram: r.last for r in index.groupBy("trigram").agg(F.max("file_id").alias("last")).collect()}
+    for block in (1, 2, 3, postings.BLOCK):
+        gaps = postings.gaps(index, block)
+        assert [tuple(r) for r in gaps.orderBy("trigram", "pos").collect()] == want
+        assert {(r.trigram, r.file_id) for r in postings.decoded(gaps, block).collect()} == {(r.trigram, r.file_id) for r in index.collect()}
 
 
 def test_long_texts_count_like_paths(spark, files):

@@ -39,6 +39,8 @@ def test_scan(spark, tree):
     assert names(plain, tree) == ["notes.txt", "sub/Report.log", "sub/deep/x.log"]
     assert names(filesystem.scan(spark, str(tree), max_depth="1"), tree) == [".dot", "notes.txt", "sub/Report.log", "sub/loop"]
     assert names(filesystem.scan(spark, str(tree), max_depth="0"), tree) == [".dot", "notes.txt"]
+    for tasks in ("1", "3", "1000"):
+        assert names(filesystem.scan(spark, str(tree), tasks=tasks), tree) == [".dot", "notes.txt", "sub/Report.log", "sub/deep/x.log", "sub/loop"]
     with pytest.raises(Exception, match="NotADirectory|missing"):
         filesystem.scan(spark, f"{tree}/missing").collect()
 
@@ -51,6 +53,60 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.load(spark, folder).count() == 5 and snapshots.load(spark, folder, 0).count() == 3
 
 
+def test_skipped_folders_are_logged(tree, caplog):
+    list(filesystem.entries(f"{tree}/gone", 0, 64, True, True))
+    found = list(filesystem.entries(str(tree), 0, 64, True, True))
+    assert len(found) == 5 and "gone" in caplog.text and "deeper than 64" in caplog.text
+
+
+def test_a_second_writer_of_a_version_fails(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    assert snapshots.save(spark.range(2), folder) == 0
+    with pytest.raises(FileExistsError):
+        snapshots.publish(spark, folder, 0, {})
+    assert snapshots.load(spark, folder).count() == 2
+
+
+@pytest.mark.parametrize("last", [0, 1, 2, 3])
+def test_a_batch_that_fails_changes_nothing_and_counts_once(spark, tmp_path, last, monkeypatch):
+    """The driver is lost after so many of the three tables, or before the commit; then the batch comes again, and again."""
+    e = Engine(spark, f"{tmp_path}/db")
+    e.build(spark.createDataFrame([(0, "/a/old.log", 0o100644, 1, 1, None), (1, "/a/gone.log", 0o100644, 1, 1, None)], S.FILES))
+    batch = spark.createDataFrame([(1, "create", "/a/newreport.txt", 0o100644, None), (2, "delete", "/a/gone.log", None, None)], S.CHANGES)
+    count, write, publish = [0], type(batch.write).parquet, snapshots.publish
+
+    def lost(self, *a, **k):
+        if count[0] == last:
+            raise RuntimeError("lost")
+        count[0] += 1
+        return write(self, *a, **k)
+
+    def unpublished(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(type(batch.write), "parquet", lost)
+    monkeypatch.setattr(snapshots, "publish", unpublished)
+    with pytest.raises(RuntimeError, match="lost"):
+        e.apply(batch, "s", 0)
+    monkeypatch.setattr(type(batch.write), "parquet", write)
+    monkeypatch.setattr(snapshots, "publish", publish)
+
+    def both(*patterns):
+        found = [sorted(r.path for r in e.search(Query(patterns), index).collect()) for index in (True, False)]
+        assert found[0] == found[1]
+        return found[0]
+
+    assert both("/a/") == ["/a/gone.log", "/a/old.log"] and both("report") == []
+    for _ in range(2):
+        e.apply(batch, "s", 0)
+        assert both("/a/") == ["/a/newreport.txt", "/a/old.log"] and both("newreport") == ["/a/newreport.txt"] and both("gone") == []
+    assert snapshots.version(spark, e.database) == 1
+    rows = e.table("postings")
+    assert rows.groupBy("trigram", "file_id").count().where("count > 1").isEmpty()
+    e.apply(batch)  # without a number it is merged again, to the same end
+    assert both("newreport") == ["/a/newreport.txt"] and snapshots.version(spark, e.database) == 2
+
+
 def test_engine_and_command_line(spark, tree, tmp_path, capsys):
     db = f"{tmp_path}/db"
     run = lambda *a: (cli.main(["-d", db, *a], spark), capsys.readouterr())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from trigrail import schema as S
@@ -59,3 +59,16 @@ def runs(text: Column) -> Column:
     """
     each = F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*)"), 1)
     return F.array_join(F.transform(each, lambda r: F.when(F.length(r) > 1, F.concat(F.left(r, F.lit(1)), F.lit("*"), F.length(r).cast("string"))).otherwise(r)), " ")
+
+
+@F.udtf(returnType="pos: bigint, trigram: string")
+class Trigrams:
+    """trigrams() as a table function for SQL: SELECT ... FROM t, LATERAL path_trigrams(path). Row by row in Python; postings.exploded() is the quick way."""
+
+    def eval(self, text: str):
+        for i in range(len(text or "") - S.TRIGRAM + 1):
+            yield i, text[i : i + S.TRIGRAM]
+
+
+def register(spark: SparkSession) -> None:
+    spark.udtf.register("path_trigrams", Trigrams)

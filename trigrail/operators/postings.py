@@ -30,19 +30,32 @@ def cardinality(postings: DataFrame) -> DataFrame:
     return postings.agg(F.countDistinct("trigram").alias("n_trigrams"))
 
 
-def gaps(postings: DataFrame) -> DataFrame:
-    """(trigram, pos from 1, file_id, gap to the last file_id, of the first one to 0).
+#: Ids, or places in a list, of a block: a long list is dealt to tasks by blocks.
+BLOCK = 1 << 20
 
-    A posting list is one window partition, which Spark sorts with spills to disk.
-    """
-    w = W.partitionBy("trigram").orderBy("file_id")
-    return postings.select("trigram", F.row_number().over(w).cast("long").alias("pos"), "file_id", (F.col("file_id") - F.coalesce(F.lag("file_id").over(w), F.lit(0))).alias("gap"))
 
+def gaps(postings: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(trigram, pos from 1, file_id, gap to the last file_id, of the first one to 0).
 
-def decoded(gap_rows: DataFrame) -> DataFrame:
-    """(trigram, pos, file_id) back from gaps."""
-    w = W.partitionBy("trigram").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return gap_rows.select("trigram", "pos", F.sum("gap").over(w).alias("file_id"))
+    A posting list is dealt in blocks of ids; what lies before a block (a count and an id) comes from a row for each block.
+    """
+    rows = postings.select("trigram", "file_id", F.floor(F.col("file_id") / block).alias("block"))
+    whole = W.partitionBy("trigram").orderBy("block")
+    blocks = rows.groupBy("trigram", "block").agg(F.count("*").alias("n"), F.max("file_id").alias("last"))
+    before = blocks.select("trigram", "block", (F.sum("n").over(whole) - F.col("n")).alias("done"), F.lag("last", 1, 0).over(whole).alias("left"))
+    w = W.partitionBy("trigram", "block").orderBy("file_id")
+    gap = F.col("file_id") - F.coalesce(F.lag("file_id").over(w), F.col("left"))
+    return rows.join(before, ["trigram", "block"]).select("trigram", (F.col("done") + F.row_number().over(w)).cast("long").alias("pos"), "file_id", gap.alias("gap"))
+
+
+def decoded(gap_rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(trigram, pos, file_id) back from gaps, dealt in blocks of places."""
+    rows = gap_rows.select("trigram", "pos", "gap", F.floor(F.col("pos") / block).alias("block"))
+    whole = W.partitionBy("trigram").orderBy("block")
+    blocks = rows.groupBy("trigram", "block").agg(F.sum("gap").alias("sum"))
+    before = blocks.select("trigram", "block", (F.sum("sum").over(whole) - F.col("sum")).alias("left"))
+    w = W.partitionBy("trigram", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(before, ["trigram", "block"]).select("trigram", "pos", (F.col("left") + F.sum("gap").over(w)).alias("file_id"))
 
 
 def codec_stats(gap_rows: DataFrame) -> DataFrame:

@@ -11,16 +11,21 @@ from trigrail.sources import filesystem, snapshots
 from trigrail.streaming import changes
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Postings sorted by trigram, so that scans skip row groups; a trigram of very many files is dealt to several tasks."""
+    return rows.repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id")
+
+
 class Engine:
     """Search over one database folder. Tables are snapshots: updates write new versions and never change old ones."""
 
-    TABLES = ("files", "postings", "postings_folded")
+    INDEXES = (("postings", False), ("postings_folded", True))
 
     def __init__(self, spark: SparkSession, database: str):
         self.spark, self.database = spark, database.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        return snapshots.load(self.spark, f"{self.database}/{name}")
+    def table(self, name: str, at: int | None = None) -> DataFrame:
+        return snapshots.load(self.spark, self.database, at, name)
 
     def update(self, root: str, **options: str) -> None:
         """Scans the tree below root and replaces the catalog and the index."""
@@ -28,12 +33,9 @@ class Engine:
         self.build(catalog.dense_ids(scanned, "path").select("id", "path", "permissions", "uid", "gid", "modified"))
 
     def build(self, files: DataFrame) -> None:
-        """Writes files and both indexes; postings are sorted by trigram, so that scans skip row groups."""
-        snapshots.save(files, f"{self.database}/files")
-        files = self.table("files")
-        for name, fold in (("postings", False), ("postings_folded", True)):
-            rows = postings.build(files, fold)
-            snapshots.save(rows.repartitionByRange("trigram").sortWithinPartitions("trigram", "file_id"), f"{self.database}/{name}")
+        """Writes files and both indexes as one version."""
+        files = snapshots.held(files)
+        snapshots.commit(self.spark, self.database, {"files": files} | {name: laid_out(postings.build(files, fold)) for name, fold in self.INDEXES})
 
     def search(self, query: Query, use_index: bool = True) -> DataFrame:
         """(id, path) of the readable matches."""
@@ -57,20 +59,24 @@ class Engine:
         grams = [prefilter(p, query.ignore_case, query.regex) for p in query.patterns]
         return any(not g or membership.all_known(index, g).first().all_known for g in grams)
 
-    def apply(self, batch: DataFrame) -> None:
-        """Merges change records into a new version. Postings of unchanged paths are carried over."""
+    def apply(self, batch: DataFrame, stream: str = "", number: int = -1) -> None:
+        """Merges change records into a new version: catalog and indexes change at once or, if this fails, not at all.
+
+        Postings of unchanged paths are carried over. A batch that a stream repeats (its number is not above the last one's) changes nothing.
+        """
+        done = snapshots.contents(self.spark, self.database)["notes"]
+        if stream and number <= done.get(stream, -1):
+            return
         old = self.table("files")
         new = snapshots.held(changes.applied(old, batch))
         gone = old.select("id", "path").join(new.select("id", "path"), ["id", "path"], "left_anti").select(F.col("id").alias("file_id"))
         fresh = new.join(old.select("id"), "id", "left_anti")
-        for name, fold in (("postings", False), ("postings_folded", True)):
-            rows = postings.without(self.table(name), gone).unionByName(postings.build(fresh, fold))
-            snapshots.save(rows.repartitionByRange("trigram").sortWithinPartitions("trigram", "file_id"), f"{self.database}/{name}")
-        snapshots.save(new, f"{self.database}/files")
+        tables = {name: laid_out(postings.without(self.table(name), gone).unionByName(postings.build(fresh, fold))) for name, fold in self.INDEXES}
+        snapshots.commit(self.spark, self.database, {"files": new, **tables}, done | ({stream: number} if stream else {}))
 
     def follow(self, stream: DataFrame, checkpoint: str, seconds: int = 30):
-        """A started streaming query that applies every micro-batch; stop it with changes.stop()."""
-        return changes.follow(stream, lambda batch, _: self.apply(batch), checkpoint, seconds)
+        """A started streaming query that applies every micro-batch once, also if one is repeated after a failure; stop it with changes.stop()."""
+        return changes.follow(stream, lambda batch, number: self.apply(batch, checkpoint, number), checkpoint, seconds)
 
     def close(self) -> None:
         self.spark.catalog.clearCache()

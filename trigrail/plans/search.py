@@ -50,10 +50,12 @@ def any_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
     return postings.where(F.col("trigram").isin(trigrams)).select("file_id").distinct()
 
 
-def all_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
-    """file_id of files with all of the (distinct) trigrams: a pushed-down filter and one aggregate, as postings has one row for each trigram of a file."""
-    met = postings.where(F.col("trigram").isin(trigrams)).groupBy("file_id").agg(F.count("*").alias("n"))
-    return met.where(F.col("n") == len(trigrams)).select("file_id")
+def all_of(postings: DataFrame, *lists: list[str]) -> DataFrame:
+    """file_id of files with all trigrams of a list, of any of the lists (each distinct): a pushed-down filter and one aggregate, as postings has one row for each trigram of a file."""
+    asked = list(dict.fromkeys(g for grams in lists for g in grams))
+    counts = [F.count(F.when(F.col("trigram").isin(grams), 1)).alias(f"n{k}") for k, grams in enumerate(lists)]
+    met = postings.where(F.col("trigram").isin(asked)).groupBy("file_id").agg(*counts)
+    return met.where(reduce(lambda a, b: a | b, (F.col(f"n{k}") == len(grams) for k, grams in enumerate(lists)))).select("file_id")
 
 
 def search(files: DataFrame, query: Query, postings: DataFrame | None = None) -> DataFrame:
@@ -68,8 +70,7 @@ def search(files: DataFrame, query: Query, postings: DataFrame | None = None) ->
     grams = [prefilter(p, query.ignore_case, query.regex) for p in query.patterns]
     rows = files
     if postings is not None and all(grams):
-        ids = reduce(DataFrame.unionByName, (all_of(postings, g) for g in grams))
-        ids = ids.distinct() if len(grams) > 1 else ids
+        ids = all_of(postings, *grams)
         rows = files.join(ids.withColumnRenamed("file_id", "id"), "id", "left_semi")
     rows = rows.where(reduce(lambda a, b: a | b, tests))
     if query.uid != 0:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from trigrail import schema as S
 from trigrail import views
 from trigrail.functions import text
 from trigrail.operators import catalog, longtext, membership, permissions, postings, ranking
+from trigrail.plans.engine import Engine, laid_out
 from trigrail.plans.search import Query, all_of, any_of, exact, matches, search
-from trigrail.sources import snapshots
+from trigrail.sources import filesystem, snapshots
 from trigrail.streaming import changes
 
 PATTERN = "example.org"
@@ -141,9 +143,11 @@ def posting_codec_stats(spark, sf_dir):
 
 
 def _each(spark, sf_dir, patterns, ignore_case=False, regex=False) -> DataFrame:
-    """Matches of each pattern, found through the index where it helps."""
+    """Matches of each pattern, found through the written index where it helps."""
     files = views.files(spark, sf_dir)
-    index = postings.build(files, fold_case=ignore_case)
+    folder = f"{snapshots_folder(spark)}/index"
+    snapshots.save(laid_out(postings.build(files, fold_case=ignore_case)), folder)
+    index = snapshots.load(spark, folder)
     found = [search(files, Query((p,), ignore_case, regex, limit=None), index).select(F.lit(p).alias("pattern"), "id", "path") for p in patterns]
     return reduce(DataFrame.unionByName, found)
 
@@ -291,6 +295,10 @@ def apply_changes(spark, sf_dir):
     return changes.applied(views.files(spark, sf_dir), views.changes(spark, sf_dir)).select("id", "path")
 
 
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = views.changes(spark, sf_dir).select(*S.CHANGES.names)
+    cut = rows.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    return rows.where(F.col("seq") <= cut), rows.where(F.col("seq") > cut)
 
 
 @_query(f"SELECT path FROM {_APPLIED}")
@@ -298,20 +306,45 @@ def stream_apply(spark, sf_dir):
     """The catalog's paths after a streaming query has merged the records, one file of them after the other."""
     place = f"{snapshots_folder(spark)}/stream"
     state = f"{place}/files"
-    rows = views.changes(spark, sf_dir).select(*S.CHANGES.names)
-    cut = rows.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
     snapshots.save(views.files(spark, sf_dir), state)
-    for part in (rows.where(F.col("seq") <= cut), rows.where(F.col("seq") > cut)):
+    for part in _halves(spark, sf_dir):
         part.coalesce(1).write.mode("append").parquet(f"{place}/in")
         stream = changes.read(spark, f"{place}/in", 1)
         changes.stop(changes.follow(stream, lambda b, _: snapshots.save(changes.applied(snapshots.load(spark, state), b), state), f"{place}/checkpoint", 0))
     return snapshots.load(spark, state).select("path")
 
 
+@_query(f"SELECT path FROM {_APPLIED} WHERE contains(path, 'example.org') OR contains(path, '/f1')")
+def engine_apply_search(spark, sf_dir):
+    """A database is built, changed twice (each batch comes again, as after a failure) and searched through its index."""
+    engine = Engine(spark, f"{snapshots_folder(spark)}/database")
+    engine.build(views.files(spark, sf_dir).select(*S.FILES.names))
+    for number, part in enumerate(_halves(spark, sf_dir)):
+        for _ in range(2):
+            engine.apply(part, "changes", number)
+    return engine.search(Query(("example.org", "/f1"), limit=None)).select("path")
+
+
+@_query("SELECT 'd' || (page_id % 7) || '/p' || page_id || '.html' AS path FROM pages")
+def scan_tree(spark, sf_dir):
+    """Paths below the root of a scanned tree, which has a file for each page (it is made in the shared folder)."""
+    root = f"{snapshots_folder(spark)}/tree".removeprefix("file:").replace("//", "/")
+    for r in views.table(spark, sf_dir, "pages").select("page_id").toLocalIterator():
+        file = Path(root, f"d{r.page_id % 7}", f"p{r.page_id}.html")
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.touch()
+    return filesystem.scan(spark, root).select(F.col("path").substr(F.lit(len(os.path.realpath(root)) + 2), F.length("path")).alias("path"))
+
+
+@_query("SELECT file_id, pos, trigram FROM grams")
+def trigram_function(spark, sf_dir):
+    text.register(spark)
+    return spark.sql("SELECT id AS file_id, t.pos, t.trigram FROM {files}, LATERAL path_trigrams(path) t", files=views.files(spark, sf_dir))
+
+
 def snapshots_folder(spark: SparkSession) -> str:
-    """A new folder for tables of one query, in the shared folder if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/trigrail-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="trigrail-")
+    """A new folder for tables of one query, in the folder that all share."""
+    return f"{snapshots.shared_folder(spark)}/trigrail-{uuid.uuid4().hex}"
 
 
 @_query("SELECT trigram, file_id, freq FROM postings WHERE file_id % 3 <> 0")

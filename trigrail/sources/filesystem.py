@@ -5,6 +5,7 @@ Every executor has to see the same tree (a shared mount), as with any file:// so
 
 from __future__ import annotations
 
+import logging
 import os
 import stat
 from collections.abc import Iterator
@@ -15,23 +16,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from trigrail import schema as S
 
+log = logging.getLogger(__name__)
+
 
 def entries(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True) -> Iterator[tuple]:
     """Rows for regular files (and symbolic links) below folder. Links are not followed; folders that can't be read, are missing or lie deeper than most are skipped."""
     try:
         with os.scandir(folder) as found:
             some = sorted(found, key=lambda e: e.name)
-    except OSError:
+    except OSError as e:
+        log.warning("skipped the folder %s: %s", folder, e)
         return
     for e in some:
         if e.name.startswith(".") and not hidden:
             continue
         try:
             s = e.stat(follow_symlinks=False)
-        except OSError:
+        except OSError as why:
+            log.warning("skipped %s: %s", e.path, why)
             continue
         if stat.S_ISDIR(s.st_mode):
-            if deep and depth < most:
+            if deep and depth >= most:
+                log.warning("skipped the folder %s: deeper than %d", e.path, most)
+            elif deep:
                 yield from entries(e.path, depth + 1, most, hidden, links)
         elif stat.S_ISREG(s.st_mode) or (links and stat.S_ISLNK(s.st_mode)):
             yield e.path, s.st_mode, s.st_uid, s.st_gid, datetime.fromtimestamp(int(s.st_mtime), UTC)
@@ -47,22 +54,31 @@ class TreeReader(DataSourceReader):
         self.root = os.path.realpath(options["path"])
         flag = lambda k: options.get(k, "true").lower() == "true"
         self.hidden, self.links = flag("include_hidden"), flag("include_symlinks")
-        self.most = int(options.get("max_depth", S.MAX_DEPTH))
+        self.most, self.tasks = int(options.get("max_depth", S.MAX_DEPTH)), int(options.get("tasks", 64))
 
     def partitions(self) -> list[Subtree]:
-        """One for the root's own files, one for each folder in it."""
+        """Subtrees, and folders without what is below them: folders are opened, level by level, until there are tasks subtrees."""
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
-        with os.scandir(self.root) as found:
-            below = sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and (self.hidden or not e.name.startswith(".")))
-        return [Subtree(self.root, 0, False), *(Subtree(p, 1, True) for p in below if self.most > 0)]
+        opened, below, depth = [], [self.root], 0
+        while below and depth <= self.most and (depth == 0 or len(below) < self.tasks):
+            deeper = []
+            for folder in below:
+                opened.append(Subtree(folder, depth, False))
+                try:
+                    with os.scandir(folder) as found:
+                        deeper += sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and (self.hidden or not e.name.startswith(".")))
+                except OSError:  # its own task says so
+                    continue
+            below, depth = deeper, depth + 1
+        return [*opened, *(Subtree(p, depth, True) for p in below if depth <= self.most)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         yield from entries(partition.folder, partition.depth, self.most, self.hidden, self.links, partition.deep)
 
 
 class FileTree(DataSource):
-    """format("filetree"): options path, include_hidden, include_symlinks, max_depth."""
+    """format("filetree"): options path, include_hidden, include_symlinks, max_depth, tasks."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,24 +1,43 @@
-"""Versioned tables in folders: version=N folders and a pointer file that names the current one.
+"""Versioned tables in folders: data folders of their own names, and commits/N files that say which of them version N has.
 
-A version is written whole before the pointer moves, and none is overwritten while it may be read.
+A version's tables are written whole before its commit appears, by one rename, and nothing is overwritten or
+deleted. What a failed writer leaves is named by no commit and never read; two writers of one version can't both commit.
 """
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse, for local sessions one of this process."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return _own()
+
+
+@cache
+def _own() -> str:
+    own = tempfile.mkdtemp(prefix="trigrail-")
+    atexit.register(shutil.rmtree, own, True)
+    return own
+
+
 def held(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder, so that later reads don't compute it again."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trigrail-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -30,34 +49,49 @@ def _files(spark: SparkSession, path: str):
 
 def version(spark: SparkSession, folder: str) -> int:
     """The current version, -1 if there is none."""
-    fs, p = _files(spark, f"{folder}/CURRENT")
-    if not fs.exists(p):
-        return -1
+    fs, p = _files(spark, f"{folder}/commits")
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
+def contents(spark: SparkSession, folder: str, at: int | None = None) -> dict:
+    """What the commit of the current version, or of version at, says: tables (name to data folder) and notes."""
+    n = version(spark, folder) if at is None else at
+    fs, p = _files(spark, f"{folder}/commits/{n}")
+    if n < 0 or not fs.exists(p):
+        raise FileNotFoundError(f"{folder} has no version" + f" {n}" * (n >= 0))
     stream = fs.open(p)
     try:
-        return int(stream.readLine())
+        return json.loads(stream.readLine())
     finally:
         stream.close()
 
 
-def save(df: DataFrame, folder: str) -> int:
-    """Writes df as the next version and makes it current."""
-    spark = df.sparkSession
-    new = version(spark, folder) + 1
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/version={new}")
-    fs, p = _files(spark, f"{folder}/CURRENT.new")
-    stream = fs.create(p, True)
-    stream.writeBytes(f"{new}\n")
-    stream.close()
-    _, to = _files(spark, f"{folder}/CURRENT")
-    fs.delete(to, False)
-    fs.rename(p, to)
+def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame], notes: dict | None = None) -> int:
+    """Writes the tables, then makes them the next version, all at once."""
+    new, written = version(spark, folder) + 1, {}
+    for name, df in tables.items():
+        written[name] = f"{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{folder}/{written[name]}")
+    publish(spark, folder, new, {"tables": written, "notes": notes or {}})
     return new
 
 
-def load(spark: SparkSession, folder: str, at: int | None = None) -> DataFrame:
-    """The current version, or version at."""
-    n = version(spark, folder) if at is None else at
-    if n < 0:
-        raise FileNotFoundError(f"{folder} has no version")
-    return spark.read.parquet(f"{folder}/version={n}")
+def publish(spark: SparkSession, folder: str, new: int, what: dict) -> None:
+    fs, temporary = _files(spark, f"{folder}/commits/_{uuid.uuid4().hex}")
+    stream = fs.create(temporary, False)
+    stream.writeBytes(json.dumps(what) + "\n")
+    stream.close()
+    _, to = _files(spark, f"{folder}/commits/{new}")
+    if fs.exists(to) or not fs.rename(temporary, to):
+        raise FileExistsError(f"another writer has made version {new} of {folder}")
+
+
+def save(df: DataFrame, folder: str) -> int:
+    """Writes df as the next version of a folder with one table."""
+    return commit(df.sparkSession, folder, {"table": df})
+
+
+def load(spark: SparkSession, folder: str, at: int | None = None, name: str = "table") -> DataFrame:
+    """A table of the current version, or of version at."""
+    return spark.read.parquet(f"{folder}/{contents(spark, folder, at)['tables'][name]}")

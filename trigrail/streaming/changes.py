@@ -40,7 +40,7 @@ def last(changes: DataFrame) -> DataFrame:
 def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     """The catalog after the changes. Paths keep their ids; new ones get ids above all old ones, in the order of paths.
 
-    Records may lack uid and gid: a known file keeps its own.
+    Records may lack uid and gid: a known file keeps its own. Not lazy: new paths are numbered by jobs that run while the plan is made.
     """
     if "action" not in changes.columns:
         changes = classified(changes)
