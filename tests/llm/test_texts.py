@@ -73,6 +73,11 @@ def test_pieces_of_long_texts(odd, own, monkeypatch):
     assert b"".join(bpe.decoder(ranks)(ids[0])) == long.encode()
 
 
+def test_squeezed_numbers_come_back():
+    for x in ([], [0], [1, 2**32 - 1, 65536, 255]):
+        assert bpe.loosened(bpe.squeezed(np.array(x, "<u4"))).tolist() == x
+
+
 def test_merge_order_when_a_merge_makes_a_lower_rank():
     tokens = ["bc", "ab", "abc", "cab", "aa", "aaa", "aaaa", "ba", "ca", "cc"]
     for seed in range(30):
@@ -84,9 +89,10 @@ def test_merge_order_when_a_merge_makes_a_lower_rank():
         assert bpe.Replay(ranks).encode([w.encode() for w in words]) == [np.array(own.encode_ordinary(w), "<u4").tobytes() for w in words]
 
 
-@pytest.mark.parametrize("size", [bpe.SLICE, 2000])
-def test_encode_decode(docs, nothing, corpus, own, size, monkeypatch):
-    monkeypatch.setattr(bpe, "SLICE", size)
+@pytest.mark.parametrize(("size", "held", "fan"), [(bpe.SLICE, bpe.HELD, bpe.FAN), (2000, 300, 2)])
+def test_encode_decode(docs, nothing, corpus, own, size, held, fan, monkeypatch):
+    for name, value in (("SLICE", size), ("HELD", held), ("FAN", fan)):
+        monkeypatch.setattr(bpe, name, value)
     got = {r.doc_id: r for r in bpe.encode_decode(docs, RANKS, P.PATTERN).collect()}
     assert got.keys() == corpus.keys()
     for d, r in got.items():

@@ -1,12 +1,13 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
 Texts are cut into pre-tokens ("words") slice by slice (SLICE bytes of text); a slice is kept as the
-list of its distinct words and, of each document, the places in that list. The distinct words of the whole corpus are
-then replayed once: they are dealt by hash, laid out together, an inverted index leads from each
+list of its distinct words and, of each document, the places in that list. The words of all slices are dealt by hash to
+buckets, packed, and a bucket's distinct words are replayed once: they are laid out together, an inverted index leads from each
 mergeable pair, by its rank, to the places where it stands in any word; merges are replayed in rank
 order over all words at once, and each touches only the two neighbours of the merged pair, whose new
-pairs enter the index. The words' ids are joined to the slices' lists, and a slice and its list give the
-documents' ids. Texts are never shuffled: slices' lists of words, and places in them, are.
+pairs enter the index. The words' ids go back to the slices, and a slice and its list give the
+documents' ids. Texts are never shuffled: slices' lists of words, and places in them, are. There are FAN buckets at most, so that
+rows grow as the corpus; a bucket of more than HELD bytes of words is replayed in parts.
 
 A merge may make a pair of lower rank than its own, and then the word's other places of the current
 rank have to wait: they re-enter the index and come up after the lower rank.
@@ -18,7 +19,6 @@ import base64
 import hashlib
 import heapq
 import re
-import secrets
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 from pathlib import Path
@@ -32,10 +32,12 @@ from trigrail.llm import fingerprints as fp
 from trigrail.llm import store
 from trigrail.llm import text as tx
 
-#: Bytes of text in a slice (a longer text is one of its own); bytes of words that are replayed together; characters that are cut into words, and ids that are decoded, at once.
-SLICE, REPLAYED, PIECE, DECODED = 8 << 20, 1 << 20, 1 << 20, 1 << 16
-CODED = "slice long, docs binary, counts binary, codes binary, words array<binary>"
-WORD_IDS = "word binary, ids binary"
+#: Bytes of text in a slice (a longer text is one of its own); bytes of words that a task holds, and that it replays together; characters that are cut into words, and ids that are decoded, at once.
+SLICE, HELD, REPLAYED, PIECE, DECODED = 8 << 20, 4 << 20, 1 << 20, 1 << 20, 1 << 16
+#: Most buckets of words; bytes of distinct words in a byte of a slice, about (for the number of buckets only).
+FAN, SHARE = 1024, 0.25
+CODED = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("docs", "counts", "codes", "place", "lengths", "words"))])
+WORD_IDS = pa.schema([("of", pa.int64()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("ids", pa.binary())])
 RESULT = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -201,12 +203,10 @@ def coder(pattern: str) -> Callable[[list[str]], tuple[list[bytes], np.ndarray,
     return code
 
 
-def together(counts: np.ndarray, codes: np.ndarray, ids: list[bytes]) -> Iterator[bytes]:
-    """The ids of each text of a slice; ids: of each of its distinct words."""
-    size = np.array([len(x) // 4 for x in ids], np.int64)
-    flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+def together(counts: np.ndarray, codes: np.ndarray, size: np.ndarray, start: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
+    """The ids of each text of a slice; size, start: of its distinct words' ids in ids."""
     for a, b in pairwise(np.concatenate(([0], np.cumsum(counts))).tolist()):
-        yield flat[fp.ragged(start, size, codes[a:b])].tobytes() if b > a else b""
+        yield ids[fp.ragged(start, size, codes[a:b])].tobytes() if b > a else b""
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list[bytes]]:
@@ -215,11 +215,24 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list
 
     def encode(texts: list[str]) -> list[bytes]:
         words, counts, codes = code(texts)
-        return list(together(counts, codes, replay.encode(words)))
+        ids = replay.encode(words)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        return list(together(counts, codes, size, np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")))
 
     return encode
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their lowest bytes first, then the next ones, compressed."""
+    raw = np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def loosened(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+
+
 def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], Iterator[bytes]]:
     """A function from ids to the bytes that they stand for, in parts."""
     token = [b""] * (max(ranks.values()) + 1)
@@ -233,42 +246,77 @@ def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], Iterator[bytes]]:
     return decode
 
 
-def _coded(pattern: str):
+def _coded(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(pattern)
         held: list[tuple[int, str]] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             words, counts, codes = code([t for _, t in held])
-            ids = np.array([d for d, _ in held], "<i8")
-            row = [[secrets.randbits(62)], [ids.tobytes()], [counts.astype("<i8").tobytes()], [codes.tobytes()], [words]]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["slice", "docs", "counts", "codes", "words"])
+            docs = np.array([d for d, _ in held], "<i8")
+            name = int(docs.min())  # of no other slice, and the same if the task runs again
+            raw = np.frombuffer(b"".join(words), np.uint8)
+            n = np.array([len(w) for w in words], np.int64)
+            ends = np.cumsum(n)
+            bucket = ((tx.word_hashes(raw, ends - n, ends) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            dealt = np.argsort(bucket, kind="stable")
+            often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # so that most codes are small
+            code_of, place = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            code_of[often], place[dealt] = np.arange(len(words)), np.arange(len(words))
+            row = {"slice": name, "bucket": -1, "docs": docs.tobytes(), "counts": counts.astype("<i8").tobytes(), "codes": squeezed(code_of[codes]), "place": squeezed(place[often])}
+            yield pa.RecordBatch.from_pylist([row], CODED)
+            edge = fp.cuts(bucket[dealt])
+            rows = []
+            for lo, hi in pairwise(edge.tolist()):
+                text = raw[fp.ragged(ends - n, n, dealt[lo:hi])].tobytes()
+                rows.append({"slice": name, "bucket": int(bucket[dealt[lo]]), "lengths": squeezed(n[dealt[lo:hi]]), "words": len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)})
+            yield pa.RecordBatch.from_pylist(rows, CODED)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             _, offs = tx.buffers(batch.column(1))
             for k, n in enumerate(np.diff(offs).tolist()):
                 if held and size + n > SLICE:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
                 held.append((ids[k], batch.column(1)[k].as_py() or ""))
                 size += n
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
 def _replayed(sent):
+    """Rows of buckets, in their order, to their words' ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = Replay(sent.value)
+        held: list[tuple[int, int, list[bytes]]] = []
+        size, now = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            known = dict.fromkeys(w for *_, words in held for w in words)
+            new = list(known)
+            for i, j in tx.steps(np.cumsum([0, *map(len, new)]), REPLAYED):
+                known.update(zip(new[i:j], replay.encode(new[i:j]), strict=True))
+            for name, bucket, words in held:
+                ids = [known[w] for w in words]
+                row = {"of": name, "bucket": bucket, "lengths": squeezed(np.array([len(x) // 4 for x in ids])), "ids": squeezed(np.frombuffer(b"".join(ids), "<u4"))}
+                yield pa.RecordBatch.from_pylist([row], WORD_IDS)
+
         for batch in batches:
-            _, offs = tx.buffers(batch.column(0))
-            for i, j in tx.steps(offs, REPLAYED):
-                words = batch.column(0).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([words, pa.array(replay.encode(words.to_pylist()), pa.binary())], names=["word", "ids"])
+            for name, bucket, lengths, words in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                raw = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True)
+                if held and (bucket != now or size + len(raw) > HELD):
+                    yield from flush()
+                    held, size = [], 0
+                cut = np.concatenate(([0], np.cumsum(loosened(lengths), dtype=np.int64))).tolist()
+                held.append((name, bucket, [raw[a:b] for a, b in pairwise(cut)]))
+                size, now = size + len(raw), bucket
+        if held:
+            yield from flush()
 
     return run
 
@@ -278,10 +326,15 @@ def _joined(sent, ids: bool, decoded: bool):
 
     def run(slices: pa.Table, words: pa.Table) -> pa.Table:
         decode = decoder(sent.value)
-        known = words.column("ids").combine_chunks().take(pa.array(np.argsort(words.column("k").to_numpy(), kind="stable"))).to_pylist()
+        order = np.argsort(words.column("bucket").to_numpy(), kind="stable").tolist()
+        none = np.zeros(0, "<u4")
+        size = np.concatenate([none, *(loosened(words.column("lengths")[k].as_py()) for k in order)]).astype(np.int64)
+        flat = np.concatenate([none, *(loosened(words.column("ids")[k].as_py()) for k in order)])
+        start = np.cumsum(size) - size
         out: list[list] = [[] for _ in schema]
-        for docs, counts, codes in zip(*(slices.column(c).to_pylist() for c in ("docs", "counts", "codes")), strict=True):  # one row
-            texts = together(np.frombuffer(counts, "<i8"), np.frombuffer(codes, "<u4"), known)
+        for docs, counts, codes, place in zip(*(slices.column(c).to_pylist() for c in ("docs", "counts", "codes", "place")), strict=True):  # one row
+            at = loosened(place).astype(np.int64)
+            texts = together(np.frombuffer(counts, "<i8"), loosened(codes), size[at], start[at], flat)
             for doc, got in zip(np.frombuffer(docs, "<i8").tolist(), texts, strict=True):
                 digest, back = hashlib.sha256(), []
                 for part in decode(got):
@@ -304,9 +357,11 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, ids: bool = True
     """
     docs = store.keyed(docs)
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
-    slices = store.written(docs.mapInArrow(tx.lean(_coded(pattern)), CODED), "slices")
-    words = slices.select("slice", F.posexplode("words").alias("k", "word"))
-    known = store.written(words.select("word").distinct().mapInArrow(tx.lean(_replayed(sent)), WORD_IDS), "replayed")
-    listed = words.join(known.hint("merge"), "word").select(F.col("slice").alias("of"), "k", "ids")
-    texts = slices.select("slice", "docs", "counts", "codes")
-    return texts.groupBy("slice").cogroup(listed.groupBy("of")).applyInArrow(tx.lean(_joined(sent, ids, decoded)), RESULT)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(24, min(FAN, int(total * SHARE // HELD) + 1))
+    kinds = "slice long, bucket int, docs binary, counts binary, codes binary, place binary, lengths binary, words binary"
+    slices = store.written(docs.mapInArrow(tx.lean(_coded(pattern, buckets)), kinds), "slices")
+    words = slices.where("bucket >= 0").select("slice", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
+    known = words.mapInArrow(tx.lean(_replayed(sent)), "of long, bucket int, lengths binary, ids binary")
+    texts = slices.where("bucket < 0").select("slice", "docs", "counts", "codes", "place")
+    return texts.groupBy("slice").cogroup(known.groupBy("of")).applyInArrow(tx.lean(_joined(sent, ids, decoded)), RESULT)
