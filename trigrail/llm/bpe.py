@@ -6,7 +6,7 @@ buckets, packed, and a bucket's distinct words are replayed once: they are laid
 mergeable pair, by its rank, to the places where it stands in any word; merges are replayed in rank
 order over all words at once, and each touches only the two neighbours of the merged pair, whose new
 pairs enter the index. The words' ids go back to the slices, and a slice and its list give the
-documents' ids. Texts are never shuffled: slices' lists of words, and places in them, are. There are FAN buckets at most, so that
+documents' ids. Of all this only words and ids are shuffled: the slices lie in a bucketed table. There are FAN buckets at most, so that
 rows grow as the corpus; a bucket of more than HELD bytes of words is replayed in parts.
 
 A merge may make a pair of lower rank than its own, and then the word's other places of the current
@@ -360,7 +360,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, ids: bool = True
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, min(FAN, int(total * SHARE // HELD) + 1))
     kinds = "slice long, bucket int, docs binary, counts binary, codes binary, place binary, lengths binary, words binary"
-    slices = store.written(docs.mapInArrow(tx.lean(_coded(pattern, buckets)), kinds), "slices")
+    slices = store.bucketed(docs.mapInArrow(tx.lean(_coded(pattern, buckets)), kinds), "slices", "slice", int(total // (2 * SLICE)))
     words = slices.where("bucket >= 0").select("slice", "bucket", "lengths", "words").repartition("bucket").sortWithinPartitions("bucket")
     known = words.mapInArrow(tx.lean(_replayed(sent)), "of long, bucket int, lengths binary, ids binary")
     texts = slices.where("bucket < 0").select("slice", "docs", "counts", "codes", "place")

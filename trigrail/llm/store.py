@@ -49,6 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+    """df as a table in the shared folder whose rows of equal by lie in one of n buckets: a grouping by it (n is not less than the shuffle's partitions) doesn't shuffle them."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "_".join((name, uuid.uuid4().hex))
+    n = min(100_000, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    df.write.format("parquet").bucketBy(n, by).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop(table: DataFrame) -> None:
     """Deletes what written() wrote; no later plan may read it."""
     context = table.sparkSession.sparkContext
