@@ -53,6 +53,24 @@ def test_stages(spark, folder):
     assert {r.doc_id: r.ids_sha256 for r in cp.run(spark, top).collect()} == {d: r.ids_sha256 for d, r in last.items()}
 
 
+def test_repeated_ids_odd_texts_and_clashing_columns(spark, folder):
+    """Each stage on its own: one row of an id, nulls and empty texts stay, a very long text is whole, other columns are left out."""
+    top, docs = folder
+    long = " ".join(f"{docs[d]}" for d in range(20, 50)) + " " + " ".join(f"the w{k}x of y{k}z in" for k in range(20000))
+    rows = [(1, d, docs[d], 2, "a", "r") for d in range(10)] + [(1, 3, docs[5], 2, "a", "r"), (1, 4, None, 2, "b", "r"), (1, None, "no id", 2, "b", "r"), (1, 900, None, 2, "b", "r"), (1, 901, "", 2, "b", "r"), (1, 902, long, 2, "b", "r")]
+    table = spark.createDataFrame(rows, "share long, doc_id long, text string, rep int, comp string, region string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars", "1L n", "'x' bucket")
+    want = {d: docs[d] for d in range(10)} | {3: min(docs[3], docs[5]), 900: None, 901: "", 902: long}
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, table, top)
+        assert got.columns == list(cp.COLUMNS)
+        got = [(r.doc_id, r.text) for r in got.collect()]
+        gone = {5} if name == "near-dedup" and want[3] == docs[5] else set()
+        assert sorted(d for d, _ in got) == sorted(want.keys() - gone)
+        assert all(t == want[d] or name == "substring dedup" for d, t in got)
+    last = {r.doc_id: r for r in cp.STAGES[-1][1](spark, table, top).collect()}
+    assert last.keys() == want.keys() and last[900].n_tokens == last[901].n_tokens == 0 and last[902].n_tokens > 60000
+
+
 def test_empty_tables(spark, folder):
     now = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id < 0")
     for _, stage in cp.STAGES:
