@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, near-dedup, substring dedup, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
-return the columns of documents, the last one what the encoder makes of them.
+return the columns of documents, the last one what the encoder makes of them. docs may have other columns, of any
+names, which are left out. Rows without doc_id go; of rows with one doc_id that with the smallest text stays (null last; see store.keyed).
+Null and empty texts pass every stage as they are: they are not rejected, are nobody's copies, lose nothing and have no ids.
+An empty table gives an empty one. Texts are worked on whole, however long.
 """
 
 from __future__ import annotations
@@ -18,18 +21,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _kept(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs whose doc_id is in ids (left_anti: is not); ids are broadcast only if they are few."""
-    return store.columns(docs, *COLUMNS).join(store.sized(store.written(ids.select("doc_id"), "ids")), "doc_id", how).select(*COLUMNS)
+    """Rows of docs, one of each doc_id, whose doc_id is in ids (left_anti: is not); ids are broadcast only if they are few."""
+    return store.keyed(docs, *COLUMNS[2:]).join(store.sized(store.written(ids.select("doc_id"), "ids")), "doc_id", how).select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return _kept(docs.where("doc_id is not null"), quality.quality(docs).where("not kept"), "left_anti")
+    return _kept(docs, quality.quality(docs).where("not kept"), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return _kept(docs.where("doc_id is not null"), minhash_dedup.near_duplicates(docs).where("not kept"), "left_anti")
+    return _kept(docs, minhash_dedup.near_duplicates(docs).where("not kept"), "left_anti")
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +40,13 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cut = store.written(substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text"), "cut")
     changed = _kept(docs, cut).drop("text", "n_chars").join(cut.hint("merge"), "doc_id")
     changed = changed.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
-    return _kept(docs.where("doc_id is not null"), cut, "left_anti").unionByName(changed)
+    return _kept(docs, cut, "left_anti").unionByName(changed)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item leaks go."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs.where("doc_id is not null"), found.select("doc_id").distinct(), "left_anti")
+    return _kept(docs, found.select("doc_id").distinct(), "left_anti")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
