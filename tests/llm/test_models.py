@@ -219,3 +219,20 @@ def test_training_is_the_same_every_time():
     one, two = (linear.train(rows, y, np.ones(60), 50) for _ in range(2))
     assert (one[0] == two[0]).all() and one[1] == two[1]
     assert tx.mix(np.zeros(1, np.uint64)).dtype == np.uint64
+
+
+def test_small_samples_get_as_many_steps():
+    """steps is a least number of batches: a small sample is learned as far as a larger one, and a large one's epochs don't change."""
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 50, 5), np.ones(5)) for _ in range(60)]
+    y = np.array([float((r[0] < 10).any()) for r in rows])
+
+    def loss(model):
+        p = np.array([linear.sigmoid(np.array([model[0][r].sum() + model[1]]))[0] for r, _ in rows])
+        return -np.log(np.where(y == 1, p, 1 - p)).mean()
+
+    few, many = (linear.train(rows, y, np.ones(60), 50, epochs=2, steps=n) for n in (0, 200))
+    assert loss(many) < loss(few) / 2
+    same, again = (linear.train(rows, y, np.ones(60), 50, batch=1, steps=n) for n in (0, 1200))
+    assert (same[0] == again[0]).all() and same[1] == again[1]
+    assert not linear.train([], np.zeros(0), np.zeros(0), 50, steps=10)[0].any()

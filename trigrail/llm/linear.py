@@ -32,15 +32,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray, size: int, *, epochs: int = 20, rate: float = 0.5, decay: float = 1e-5, batch: int = 128) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray, size: int, *, epochs: int = 20, rate: float = 0.5, decay: float = 1e-5, batch: int = 128, steps: int = 0) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic model with AdaGrad steps over shuffled batches, the same on every run.
 
-    rows: (feature indices, values) of each example; target in 0 to 1; weight: of each example.
+    rows: (feature indices, values) of each example; target in 0 to 1; weight: of each example. There are
+    more epochs where these have fewer than steps batches.
     """
     w, bias = np.zeros(size), 0.0
     seen, seen_bias = np.full(size, 1e-6), 1e-6
     rng = np.random.default_rng(7)
-    for _ in range(epochs):
+    batches = max(1, -(-len(rows) // batch))
+    for _ in range(max(epochs, -(-steps // batches))):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]

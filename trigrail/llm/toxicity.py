@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from trigrail.llm import linear, store
 from trigrail.llm import text as tx
 
-ORDERS, BITS, SMOOTH = (3, 4, 5, 6), 19, 0.2
+# ORDERS, SMOOTH, LEAST and STEPS were chosen by cross-validation inside the rows that are fitted.
+ORDERS, BITS, SMOOTH = (2, 3, 4, 5), 19, 0.2
 #: Fitted documents that must have a feature for it to count.
-LEAST = 5
+LEAST = 8
+#: Batches that a fit takes at least: a small sample has few in an epoch.
+STEPS = 1200
 #: Bytes of text that one step holds, about.
 STEP = 1 << 19
 #: Most labelled documents of each class that are fitted.
@@ -46,7 +49,7 @@ def _fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         counts[int(y), r] += w
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[np.bincount(np.concatenate(rows), minlength=1 << BITS) < LEAST] = 0
-    w, bias = linear.train([_scaled(r, ratio) for r in rows], toxic.astype(float), weight, 1 << BITS)
+    w, bias = linear.train([_scaled(r, ratio) for r in rows], toxic.astype(float), weight, 1 << BITS, steps=STEPS)
     return ratio, w, bias
 
 
