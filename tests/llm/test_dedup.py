@@ -7,6 +7,7 @@ import numpy as np
 import plain
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trigrail.llm import components, embedding_dedup, fingerprints, minhash_dedup, store, substring_dedup, suffix_dedup
 from trigrail.llm import text as tx
@@ -124,6 +125,26 @@ def test_minhash(docs, corpus, region):
     assert got == plain.near_documents(corpus)
 
 
+def test_dense_regions_are_not_squared(spark):
+    """A dense region of near copies and a few others: every pair of different components in one tile, rows linear."""
+    copies = [(k, " ".join(f"w{i}" for i in range(100)) + f" end{k}") for k in range(480)]
+    others = [(1000 + k, " ".join(f"x{k}y{i}" for i in range(40))) for k in range(20)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string")
+    dense = docs.select(F.col("doc_id").alias("rep"), F.lit(7).cast("long").alias("region"), F.lit(2000).alias("tree"))
+    tiles, links = minhash_dedup._tiles(docs, dense, 40)
+    assert {r.b for r in links.collect()} == set(range(1, 480)) and {r.a for r in links.collect()} == {0}
+    rows = tiles.collect()
+    assert len(rows) == 480 + 20 * 25 and {r.whole for r in rows} == {7}
+    met: dict[int, set[int]] = {}
+    for r in rows:
+        met.setdefault(r.rep, set()).add(r.region)
+    ids = [d for d, _ in copies + others]
+    assert all(len(met[o] & met[d]) == 1 for o, _ in others for d in ids if d < 1000)
+    assert all(met[o] & met[p] for o, _ in others for p, _ in others)
+    same, none = minhash_dedup._tiles(docs.where("doc_id < 480"), dense.where("rep < 480"), 40)
+    assert same.isEmpty() and none.count() == 479
+
+
 def test_levels_have_their_recall():
     least = minhash_dedup.THRESHOLD[0] / minhash_dedup.THRESHOLD[1]
     assert all(1 - (1 - least**depth) ** trees >= 0.998 for depth, trees in minhash_dedup.LEVELS)

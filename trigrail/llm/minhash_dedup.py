@@ -8,7 +8,9 @@ depth with as many trees as catch a pair of similarity THRESHOLD with at least 0
 dense at one level is not searched there: its documents, all of them, go to the next level, which is
 deeper and has more trees. These read minhash values of their own, computed again from the texts, so that
 no two trees share a value, and a level misses at most 0.002 of such pairs (once for each level that
-a pair has to pass). What is still too dense at the last level is compared block by block.
+a pair has to pass). What is still too dense at the last level is compared block by block; before that its
+documents meet a leader of their regions, and only what doesn't join the region's greatest component is
+compared with all, so that a million copies of a page are a million comparisons and not their square.
 
 Sets that are equal form a class with one representative. In a region, pairs whose sketches agree
 well enough (SLACK lets pairs of the threshold through with 4.4 standard deviations to spare) are
@@ -190,12 +192,13 @@ def _compare(first: bool):
         sizes, found = np.diff(cut), []
         two = cut[:-1][sizes == 2]
         near = ((bits[two] == bits[two + 1]).mean(1) - 1 / 256) / (1 - 1 / 256)
-        ok = near >= THRESHOLD[0] / THRESHOLD[1] if first else (near >= SLACK) & (comp[two] != comp[two + 1])
+        ok = (near >= (THRESHOLD[0] / THRESHOLD[1] if first else SLACK)) & (comp[two] != comp[two + 1])
         found.append((rep[two][ok], rep[two + 1][ok], near[ok]))
         for lo, n in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             b, r = bits[lo : lo + n], rep[lo : lo + n]
             if first:
-                found += [(np.full(len(f), r[k]), r[f], s) for k, f, s in led(b)]
+                c = comp[lo : lo + n]
+                found += [(np.full((c[f] != c[k]).sum(), r[k]), r[f][c[f] != c[k]], s[c[f] != c[k]]) for k, f, s in led(b)]
             else:
                 x, y, s = best(b, comp[lo : lo + n])
                 found.append((np.minimum(r[x], r[y]), np.maximum(r[x], r[y]), s))
@@ -280,9 +283,33 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return store.written(both.select("a", "b", "t1", "t2").mapInArrow(tx.lean(_similar), "a long, b long, linked boolean"), "links")
 
 
-def _regions(docs: DataFrame, reps: DataFrame, region: int) -> DataFrame:
-    """(rep, region, tree, whole): the regions of every level that are to be compared; of a block, whole is the region that it is of."""
-    out, search = None, reps.select("rep", "sig")
+def _tiles(docs: DataFrame, dense: DataFrame, region: int) -> tuple[DataFrame, DataFrame]:
+    """Dense regions (rep, region, tree) in tiles (rep, region, tree, whole) of about region documents, and the links (a, b) found on the way.
+
+    Each document is verified against one leader, the smallest document of its regions that shares most of them. In
+    each region the component with most documents then needs no comparison inside: the blocks of the others meet each
+    other and its blocks. Regions of one component go.
+    """
+    lead = store.sized(store.written(dense.groupBy("region").agg(F.min("rep").alias("a")), "leaders"))
+    votes = dense.join(lead, "region").where("a <> rep").groupBy("rep", "a").agg(F.count("*").alias("n"))
+    to = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("to"))
+    links = _verified(docs, store.written(to.select((-F.col("to.a")).alias("a"), F.col("rep").alias("b")), "led-dense")).where("linked").select("a", "b")
+    parts = store.written(components(links), "dense-parts").select(F.col("id").alias("rep"), "component")
+    named = store.written(dense.join(parts, "rep", "left").select("rep", "region", "tree", F.coalesce("component", "rep").alias("comp")), "dense-named")
+    each = named.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    main = each.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    main = main.select("region", F.col("main.comp").alias("main"), F.ceil((F.col("n") - F.col("main.n")) * 2 / region).alias("s"), F.ceil(F.col("main.n") * 2 / region).alias("m"))
+    rows = named.join(store.sized(store.written(main, "dense-main")), "region")
+    ours, place = F.col("comp") == F.col("main"), F.xxhash64("rep")
+    rows = rows.withColumn("k", F.when(ours, F.col("s") + F.pmod(place, F.col("m"))).otherwise(F.pmod(place, F.col("s"))))
+    last = F.when(ours, F.col("s")).otherwise(F.col("s") + F.col("m")) - 1
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return rows.select("rep", F.xxhash64("region", F.least("k", "j"), F.greatest("k", "j")).alias("region"), "tree", F.col("region").alias("whole")), links
+
+
+def _regions(docs: DataFrame, reps: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, region, tree, whole): the regions of every level that are to be compared; of a tile, whole is the region that it is of. And links (a, b), if some were found."""
+    out, links, search = None, None, reps.select("rep", "sig")
     for level, (depth, trees) in enumerate(LEVELS):
         rows = search.mapInArrow(tx.lean(_prefixes(level, depth, trees)), "rep long, region long, tree int")
         rows = store.written(rows, "prefixes")
@@ -291,16 +318,16 @@ def _regions(docs: DataFrame, reps: DataFrame, region: int) -> DataFrame:
         store.drop(rows)
         fit = met.where(F.col("n") <= region).select("rep", "region", "tree", F.lit(None).cast("long").alias("whole"))
         dense = met.where(F.col("n") > region)
-        if level == len(LEVELS) - 1:  # blocks of a region, every two of them together
-            blocks = dense.withColumn("s", F.ceil(F.col("n") * 2 / region)).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("s")))
-            tiles = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-            fit = fit.union(tiles.select("rep", F.xxhash64("region", F.least("k", "j"), F.greatest("k", "j")).alias("region"), "tree", F.col("region").alias("whole")))
         out = fit if out is None else out.union(fit)
-        if level == len(LEVELS) - 1 or dense.isEmpty():
+        if dense.isEmpty():
+            break
+        if level == len(LEVELS) - 1:
+            tiles, links = _tiles(docs, dense, region)
+            out = out.union(tiles)
             break
         ids = store.written(dense.select("rep").distinct(), "dense")
         search = docs.select(F.col("doc_id").alias("rep"), "text").join(store.sized(ids), "rep", "left_semi")
-    return out
+    return out, links
 
 
 def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
@@ -313,7 +340,8 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     sketch = store.written(docs.mapInArrow(tx.lean(_sketch), SKETCH), "sketches")
     classes = store.written(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bits")
-    met = store.written(_regions(docs, reps, region), "met")
+    regions, early = _regions(docs, reps, region)
+    met = store.written(regions, "met")
     some = store.written(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "bits"), "met-bits")
     shares = max(24, met.count() // 50_000 + 1)
 
@@ -334,8 +362,13 @@ def near_duplicates(docs: DataFrame, *, region: int = REGION) -> DataFrame:
     def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
         return store.written(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "parts")
 
-    led_by = _verified(docs, store.written(candidates(met.withColumn("comp", F.col("rep")), True), "led"))
-    parts = store.written(components(led_by.where("linked")), "parts")
+    alone = met.withColumn("comp", F.col("rep"))
+    if early is not None:
+        known = store.written(components(early), "early-parts")
+        alone = met.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    led_by = _verified(docs, store.written(candidates(alone, True), "led"))
+    links = led_by.where("linked").select("a", "b")
+    parts = store.written(components(links if early is None else links.union(early)), "parts")
     rest = mixed(parts)
     if not rest.isEmpty():
         new = store.written(candidates(rest, False).join(led_by, ["a", "b"], "left_anti"), "best")
