@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from trigrail import views
 from trigrail.operators import longtext, postings, ranking
-from trigrail.plans.engine import laid_out
 from trigrail.plans.search import Query, search
 from trigrail.queries import PATTERN
 from trigrail.session import session
@@ -44,7 +43,7 @@ def main() -> None:
     copies = spark.range(COPIES).withColumnRenamed("id", "copy")
     many = pages.join(F.broadcast(copies)).withColumn("path", F.concat("path", F.lit("/"), F.col("copy").cast("string"))).withColumn("id", F.col("id") * COPIES + F.col("copy")).drop("copy")
     files = saved(many.repartitionByRange(cpus, "path"), "files")
-    index, folded = (saved(laid_out(postings.build(files, fold)), name) for name, fold in (("index", False), ("folded", True)))
+    index, folded = (saved(postings.laid_out(postings.build(files, fold)), name) for name, fold in (("index", False), ("folded", True)))
     docs = saved(views.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(cpus), "documents")
     records, pages = saved(views.changes(spark, sf_dir), "records"), saved(pages, "pages")
     rare = files.agg(F.max("path")).first()[0][8:]

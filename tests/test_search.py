@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from trigrail.functions import score, text
 from trigrail.operators import catalog, longtext, permissions, postings
-from trigrail.plans.literals import required
-from trigrail.plans.search import Query, prefilter, search
+from trigrail.plans import boolean, choice
+from trigrail.plans.search import Query, planned, search, tree_of
 
 PATHS = ["", "a", "ab", "abc", "aaaaaaa", "//x", "/a//b", "/.hidden/f", "/né/ü.txt", "100%_x", "[x].log", "/" + "d/" * 64 + "f", "/" + "d/" * 65 + "f", "it's \\ here", "/Σας/ΣΑΣ", "/İx/Log.LOG", "/var/log/syslog.log"]
 
@@ -35,28 +35,91 @@ def test_several_patterns_limit_and_owner(files):
     assert search(files, Query(()), None).count() == 0
 
 
-PIECES = st.lists(st.sampled_from(["ab", "c", "x+", "y?", "z*", "d{2}", "[pq]", "(?:rs)", "(tu)", ".", "\\.", "\\d", "^", "$", "é"]), max_size=6)
+PIECE = st.sampled_from(["ab", "c", "x+", "y?", "z*", "d{2}", "d{1,3}", "[pq]", "[^p]", "[a-c]+", "(?:rs)", "(tu)", "(rs|tu)", "(?:ab|c|)", "(ab|cd)+", "(?:x(?:y|z)){2}", ".", ".*", "\\.", "\\d", "^", "$", "é", "(?=ab)", "(?i:aB)", "abcd", "(?>tu|t)", "a++"])
+REGEX = st.lists(st.lists(PIECE, max_size=6).map("".join), min_size=1, max_size=3).map("|".join)
 
 
-@settings(max_examples=300, deadline=None)
-@given(PIECES, st.text("abcxyzdpqrstu.1é", max_size=30))
-def test_required_literals_are_in_every_match(pieces, subject):
-    pattern = "".join(pieces)
-    try:
-        found = re.search(pattern, subject)
-    except re.error:
-        return
-    if found:
-        assert all(x in subject for x in required(pattern))
+@settings(max_examples=500, deadline=None)
+@given(REGEX, st.booleans(), st.lists(st.text("abcxyzdpqrstu.1éAB", max_size=40), min_size=1, max_size=20))
+def test_every_match_has_what_the_tree_asks_for(pattern, ignore, subjects):
+    tree = boolean.of_regex(pattern, ignore)
+    for s in subjects:
+        if re.search(pattern, s, re.I if ignore else 0):
+            s = s.lower() if ignore else s
+            assert boolean.holds(tree, {s[i : i + 3] for i in range(len(s) - 2)})
 
 
-def test_required_literals():
-    assert required(r"\.org/(en|fr)/[0-9]+$") == [".org/", "/"]
-    assert required("abc|d") == required("(?i)abc") == required(r"a\Qb") == required("abc)") == []
-    assert required("abcd?ef") == ["abc", "ef"]
-    assert required("ab+c") == ["ab", "c"]
-    assert required("a{2}b") == ["b"]
-    assert prefilter("Éabcd", ignore_case=True, regex=True) == ["abc", "bcd"]
+def asked(pattern, folded=False):
+    return boolean.of_regex(pattern, folded)
+
+
+def test_trees_of_expressions():
+    some, every = boolean.some_, boolean.all_
+    assert asked("(foo|bar)[0-9]x+") == some("foo", "bar") or boolean.trigrams(asked("(foo|bar)[0-9]x+")) >= {"foo", "bar"}
+    assert not boolean.holds(asked("(foo|bar)[0-9]x+"), {"fox", "ba0"}) and boolean.holds(asked("(foo|bar)[0-9]x+"), {"foo", "oo1", "o1x"})
+    assert asked("abc|def") == some("abc", "def") and asked("abc.*def") == every("abc", "def")
+    assert asked("ab[cd]e") == some(every("abc", "bce"), every("abd", "bde")) and asked("abcd?e") == some(every("abc", "bcd", "cde"), every("abc", "bce"))
+    assert asked("(abc)+") == "abc" and asked("abc{2}") == every("abc", "bcc") and asked("x(abc)*") == boolean.ANY
+    assert asked("(?:ab){2,}") == every("aba", "bab") and asked("a(?=bcd)") == boolean.ANY
+    for nothing in (r"a\Qbcdef", "abc|d", "[[a]bcd]efg", "[a&&b]cde", r"\u0061bcd", "a{x}bcd", "(?<n>abc)", "(?x)a b c", "abc)", r"\1abc", "a(?i)bcd", "[]a]bcd"):
+        assert asked(nothing) == boolean.ANY, nothing
+    assert asked("(?i)abc") == some(*(a + b + c for a in "aA" for b in "bB" for c in "cC"))
+    assert asked("Éabcd", True) == every("abc", "bcd") and asked("ABC", True) == "abc"
+    assert len(boolean.trigrams(asked("[a-j][a-j][a-j][a-j]"))) <= 3 * boolean.MANY**2
+    assert asked("(" * 3000 + "a" + ")" * 3000) == boolean.ANY
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    """Paths of words, some of which are rare."""
+    rows = [(i, f"/{'common' if i % 2 else 'usual'}/{i % 7}/{['foo', 'bar', 'baz'][i % 3]}{i % 5}{'x' * (i % 3)}" + ("/needle" if i % 211 == 0 else "") + ("/ΑΣΒ" if i % 97 == 0 else "")) for i in range(2000)]
+    return spark.createDataFrame(rows, "id long, path string").withColumn("block", F.shiftright("id", choice.BLOCK).cast("int")).cache()
+
+
+REGEXES = ["(foo|bar)[0-9]x+", "needle|ΑΣ", "(common|usual)/[1-3]/ba[rz]", "co(mm|nn)on/6", "[nm]eedl[ea]$", "(?:fo|ba)[or]4", "zzzz|needle", "qqqq", "fo{2}1", "(?i)NEED", "/(0|6)/foo", "x{2}/needle"]
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_planned_searches_find_what_a_scan_finds(spark, names, ignore_case):
+    index = postings.build(names, ignore_case).cache()
+    lengths = postings.dictionary(index).cache()
+    found = {}
+    for q in [Query((p,), ignore_case, True, limit=None) for p in REGEXES] + [Query((p,), ignore_case, limit=None) for p in ("needle", "common", "baz1", "qqq", "αςβ", "o", "NEEDLE", "xx/needle")]:
+        how = planned(spark, q, lengths, 2000)
+        found[q.patterns[0]] = how
+        want = {r.id for r in search(names, q).collect()}
+        assert {r.id for r in search(names, q, index, how).collect()} == want, q
+        assert {r.id for r in search(names.drop("block"), q, index, how).collect()} == want, q
+        assert {r.id for r in search(names, q, index).collect()} == want, q
+        assert how.bound is None or how.how == "scan" or len(want) <= how.bound
+    assert found["needle"].how == "index" and len(boolean.trigrams(found["needle"].tree)) == 4
+    assert found["common"].how == "scan" and found["qqqq"].how == "nothing"
+    assert boolean.trigrams(found["xx/needle"].tree) == {"xx/", "x/n", "/ne", "nee"} or len(boolean.trigrams(found["xx/needle"].tree)) <= 1 + choice.MORE
+    assert found["co(mm|nn)on/6"].how != "nothing"
+
+
+def test_plans_read_the_rarest_lists():
+    tree, counts = boolean.of_strings(["abcdefg"]), {"abc": 900, "bcd": 10, "cde": 500, "def": 30, "efg": 41}
+    how = choice.choose(tree, counts, 10_000)
+    assert (how.how, how.bound, how.reads, boolean.trigrams(how.tree)) == ("index", 10, 40, {"bcd", "def"})
+    assert choice.choose(tree, counts, 100).how == "scan" and choice.choose(tree, {**counts, "efg": 0}, 10_000).how == "nothing"
+    either = boolean.some_(tree, "xyz")
+    assert choice.choose(either, {**counts, "xyz": 5}, 10_000).bound == 15 and choice.choose(either, {"xyz": 5}, 10_000).tree == "xyz"
+    many = boolean.of_strings(["".join(chr(97 + i) for i in (a, b, c)) for a in range(5) for b in range(5) for c in range(5)])
+    assert choice.choose(many, dict.fromkeys(boolean.trigrams(many), 1), 10_000).how == "scan"
+    assert choice.choose(boolean.all_(many, "xyz"), None).tree == "xyz"
+    assert choice.choose(boolean.all_(many, "xyz"), dict.fromkeys([*boolean.trigrams(many), "xyz"], 1), 10_000).how == "index"
+
+
+@pytest.mark.parametrize("pattern", ["ΑΣ", "ας", "İ", "i̇x", "ﬁ", "ſ", "Σ", "ΣΑΣ", "ß", "İX/LOG"])
+def test_letters_of_any_script_fold_alike_in_index_and_scan(spark, pattern):
+    paths = ["/ΑΣΒ/x.log", "/ας", "/ΑΣ", "/αΣ.b", "/İx/log", "/ﬁle", "/ſet", "/STRASSE", "/straße", "/σ", "/xΣΑΣ"]
+    files = spark.createDataFrame([*enumerate(paths)], "id long, path string")
+    q = Query((pattern,), ignore_case=True, limit=None)
+    fold = lambda s: "".join(c.lower() for c in s).replace("ς", "σ")
+    want = {i for i, p in enumerate(paths) if fold(pattern) in fold(p)}
+    assert {r.id for r in search(files, q).collect()} == {r.id for r in search(files, q, postings.build(files, True)).collect()} == want
+    assert want
 
 
 def test_text_functions(spark):

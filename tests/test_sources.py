@@ -1,15 +1,19 @@
 """The file tree source, snapshots, the engine, streams and the command line."""
 
 import os
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from trigrail import cli
 from trigrail import schema as S
+from trigrail.operators import postings
+from trigrail.plans import choice
 from trigrail.plans.engine import Engine
 from trigrail.plans.search import Query
-from trigrail.sources import filesystem, snapshots
+from trigrail.sources import filesystem, segments, snapshots
 from trigrail.streaming import changes
 
 
@@ -67,10 +71,10 @@ def test_a_second_writer_of_a_version_fails(spark, tmp_path):
     assert snapshots.load(spark, folder).count() == 2
 
 
-@pytest.mark.parametrize("last", [0, 1, 2, 3])
+@pytest.mark.parametrize("last", [0, 2, 5, 6])
 def test_a_batch_that_fails_changes_nothing_and_counts_once(spark, tmp_path, last, monkeypatch):
-    """The driver is lost after so many of the three tables, or before the commit; then the batch comes again, and again."""
-    e = Engine(spark, f"{tmp_path}/db")
+    """The driver is lost after so many of the six tables, or before the commit; then the batch comes again, and again."""
+    e = Engine(spark, f"file://{tmp_path}/db", scan_below=0)
     e.build(spark.createDataFrame([(0, "/a/old.log", 0o100644, 1, 1, None), (1, "/a/gone.log", 0o100644, 1, 1, None)], S.FILES))
     batch = spark.createDataFrame([(1, "create", "/a/newreport.txt", 0o100644, None), (2, "delete", "/a/gone.log", None, None)], S.CHANGES)
     count, write, publish = [0], type(batch.write).parquet, snapshots.publish
@@ -105,6 +109,124 @@ def test_a_batch_that_fails_changes_nothing_and_counts_once(spark, tmp_path, las
     assert rows.groupBy("trigram", "file_id").count().where("count > 1").isEmpty()
     e.apply(batch)  # without a number it is merged again, to the same end
     assert both("newreport") == ["/a/newreport.txt"] and snapshots.version(spark, e.database) == 2
+    folders = lambda: {p.name for p in (tmp_path / "db").glob("*/*=*")}
+    named = {n for k in (*e.store.state().segments, *e.store.state().deletes) for n in [k]}
+    assert e.vacuum() == 0 and both("/a/") == ["/a/newreport.txt", "/a/old.log"]  # what a writer may be at stays
+    e.vacuum(idle=0)
+    assert {f.split("=")[1] for f in folders()} == named and both("/a/") == ["/a/newreport.txt", "/a/old.log"]
+
+
+def paths(rows):
+    return sorted(r.path for r in rows.collect())
+
+
+def random_batches(spark, n, seed):
+    rnd, seq = random.Random(seed), 0
+    for _ in range(n):
+        rows = []
+        for _ in range(rnd.randint(1, 40)):
+            seq += 1
+            rows.append((seq, rnd.choice(["create", "create", "modify", "delete", "moved_to", "moved_from", "attrib"]), f"/{rnd.choice('abc')}/name{rnd.randint(0, 40)}.{rnd.choice(['log', 'txt'])}", rnd.choice([0o100644, 0o100600, None]), None))
+        yield spark.createDataFrame(rows, S.CHANGES)
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_segments_hold_what_a_rebuild_holds(spark, tmp_path, merge, monkeypatch):
+    """After every batch, catalog, postings and searches are those of one catalog to which all changes were applied."""
+    first = spark.createDataFrame([(k, f"/a/name{k}.log", 0o100644, 1, 1, None) for k in range(30)], S.FILES)
+    monkeypatch.setattr(segments, "FANOUT", 3)
+    e = Engine(spark, f"{tmp_path}/db", scan_below=0)
+    e.build(first)
+    want = {r.path: r.permissions for r in first.collect()}
+    merged = 0
+    for k, batch in enumerate(random_batches(spark, 4, 4)):
+        e.apply(batch)
+        for r in {r.path: r for r in sorted(batch.collect()) if r.op != "attrib"}.values():
+            if r.op in S.DELETES:
+                want.pop(r.path, None)
+            else:
+                want[r.path] = r.permissions if r.permissions is not None else want.get(r.path)
+        if merge:
+            while e.compact():
+                merged += 1
+            if k == 2:
+                e.compact(everything=True)
+                assert len(e.store.state().segments) == 1 and not e.store.state().deletes
+                assert not e.compact(everything=True)
+            e.vacuum(keep=2, idle=0)
+        files = e.table("files")
+        assert {r.path: r.permissions for r in files.collect()} == want
+        assert files.count() == files.select("id").distinct().count() == e.store.state().n_files
+        for table, fold in (("postings", False), ("postings_folded", True)):
+            assert sorted(map(tuple, e.table(table).collect())) == sorted(map(tuple, postings.build(files, fold).collect()))
+        for q in (Query(("name1",), limit=None), Query((".LOG",), ignore_case=True, limit=None), Query(("(name3|b/n).*txt",), regex=True, limit=None)):
+            assert paths(e.search(q)) == paths(e.search(q, use_index=False))
+        assert paths(e.search(Query(("name1",), limit=None))) == sorted(p for p in want if "name1" in p)
+    assert merged >= merge
+    if merge:
+        with pytest.raises(FileNotFoundError):
+            e.table("files", 0)
+    else:
+        assert e.table("files", 0).count() == 30 and len(e.store.state().segments) > 3
+
+
+def test_a_batch_writes_by_its_own_size(spark, tmp_path):
+    def grown(n):
+        e = Engine(spark, f"{tmp_path}/db{n}", scan_below=0)
+        e.build(spark.range(n).select("id", F.concat(F.lit("/some/folder/"), F.sha2(F.col("id").cast("string"), 256)).alias("path"), *[F.lit(None).cast(S.FILES[c].dataType).alias(c) for c in S.FILES.names[2:]]))
+        before = e.store.size(e.store.state())
+        batch = spark.range(200).select("id", F.lit("create"), F.concat(F.lit("/new/"), "id"), F.lit(None).cast("int"), F.lit(None).cast("timestamp")).toDF(*S.CHANGES.names)
+        e.apply(batch)
+        return before, e.store.size(e.store.state()) - before
+
+    small, large = grown(2000), grown(20_000)
+    assert large[0] > 6 * small[0] and large[1] < 1.1 * small[1]
+
+
+def test_two_writers_cannot_both_commit(spark, tmp_path):
+    e, f = (Engine(spark, f"file://{tmp_path}/db", scan_below=0) for _ in range(2))
+    e.build(spark.createDataFrame([(0, "/a/old.log", 1, 1, 1, None)], S.FILES))
+    record = lambda path: spark.createDataFrame([(1, "create", path, None, None)], S.CHANGES)
+    base = f.store.state()
+    f.store.latest = lambda: base  # it began before the other one's commit
+    e.apply(record("/a/one.log"))
+    with pytest.raises(FileExistsError):
+        f.apply(record("/a/two.log"))
+    assert paths(e.table("files")) == ["/a/old.log", "/a/one.log"]
+    del f.store.latest
+    f.apply(record("/a/two.log"))
+    assert paths(e.table("files")) == ["/a/old.log", "/a/one.log", "/a/two.log"]
+
+
+def test_a_stream_with_a_new_checkpoint_is_another_one(spark, tmp_path, caplog):
+    e = Engine(spark, f"{tmp_path}/db", scan_below=0)
+    e.build(spark.createDataFrame([(0, "/a/old.log", 1, 1, 1, None)], S.FILES))
+
+    def add(path, checkpoint):
+        spark.createDataFrame([(1, "create", path, None, None)], S.CHANGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        changes.stop(e.follow(changes.read(spark, f"{tmp_path}/in"), f"{tmp_path}/{checkpoint}", 0))
+
+    add("/a/one.log", "c")
+    add("/a/two.log", "c")
+    notes = e.store.state().notes
+    shutil.rmtree(tmp_path / "c")
+    add("/afterreset.log", "c")
+    assert paths(e.table("files")) == ["/a/old.log", "/a/one.log", "/a/two.log", "/afterreset.log"]
+    assert len(e.store.state().notes) == 2 and [*notes.values()] == [1]
+    e.apply(spark.createDataFrame([(1, "delete", "/a/one.log", None, None)], S.CHANGES), *next(iter(notes.items())))
+    assert "/a/one.log" in paths(e.table("files")) and "skipped" in caplog.text
+
+
+def test_named_candidates_open_only_their_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(choice, "BLOCK", 6)
+    monkeypatch.setattr(segments, "BLOCK", 6)
+    e = Engine(spark, f"{tmp_path}/db", scan_below=0)
+    e.build(spark.createDataFrame([(k, f"/x/{k}" + "/needle" * (k == 300), 1, 1, 1, None) for k in range(640)], S.FILES))
+    assert e.explain(Query(("needle",))).how == "index" and e.explain(Query(("/x/",))).how == "scan"
+    found = e.search(Query(("needle",), limit=None))
+    assert [r.id for r in found.collect()] == [300]
+    scan = next(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x or "Scan parquet" in x)
+    assert "block" in scan and "4" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
 def test_engine_and_command_line(spark, tree, tmp_path, capsys):

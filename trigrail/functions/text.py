@@ -17,6 +17,11 @@ def trigrams(text: Column) -> Column:
     return F.transform(places, lambda i: F.substring(text, i, S.TRIGRAM))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, letter by letter: the one letter that is lowered by its place in a word (the Greek sigma at an end) has one form. What contains a string so contains its folded form when folded."""
+    return F.translate(F.lower(text), "ς", "σ")
+
+
 def literal_trigrams(pattern: str) -> list[str]:
     """The distinct trigrams of a query string, in order of their first place."""
     return list(dict.fromkeys(pattern[i : i + S.TRIGRAM] for i in range(len(pattern) - S.TRIGRAM + 1)))
@@ -61,14 +66,7 @@ def runs(text: Column) -> Column:
     return F.array_join(F.transform(each, lambda r: F.when(F.length(r) > 1, F.concat(F.left(r, F.lit(1)), F.lit("*"), F.length(r).cast("string"))).otherwise(r)), " ")
 
 
-@F.udtf(returnType="pos: bigint, trigram: string")
-class Trigrams:
-    """trigrams() as a table function for SQL: SELECT ... FROM t, LATERAL path_trigrams(path). Row by row in Python; postings.exploded() is the quick way."""
-
-    def eval(self, text: str):
-        for i in range(len(text or "") - S.TRIGRAM + 1):
-            yield i, text[i : i + S.TRIGRAM]
-
-
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("path_trigrams", Trigrams)
+    """trigrams() as a table function for SQL: SELECT ... FROM t, LATERAL path_trigrams(path). Built-in expressions, as everywhere here."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION path_trigrams(path STRING) RETURNS TABLE (pos BIGINT, trigram STRING)
+        RETURN SELECT i - 1, substring(path, CAST(i AS INT), 3) FROM (SELECT explode(filter(sequence(1L, greatest(length(path) - 2L, 1L)), i -> i <= length(path) - 2)) AS i)""")

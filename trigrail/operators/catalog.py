@@ -8,27 +8,20 @@ from pyspark.sql.window import Window as W
 
 from trigrail import schema as S
 from trigrail.functions import text
+from trigrail.sources.snapshots import held
 
 
 def dense_ids(rows: DataFrame, by: str, start: int = 0) -> DataFrame:
     """rows with an id: start, start + 1, ... in the order of by, which must be unique.
 
-    Rows are dealt by ranges and numbered within each; only the ranges' sizes come to the driver. The
+    Rows are dealt by ranges and numbered within each; where a range begins comes from a row for each range. The
     dealt rows are checkpointed, so that a recomputed range can't number them differently.
     """
-    from trigrail.sources.snapshots import held
-
     dealt = held(rows.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()))
-    sizes = sorted((r._range, r["count"]) for r in dealt.groupBy("_range").count().collect())
-    offsets, total = [], start
-    for part, n in sizes:
-        offsets.append((part, total))
-        total += n
-    if not offsets:
-        return dealt.withColumn("id", F.lit(None).cast("long")).drop("_range")
-    first = F.create_map(*[F.lit(x) for pair in offsets for x in pair])
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    first = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n") + start).alias("_first"))  # a row for each partition
     within = F.row_number().over(W.partitionBy("_range").orderBy(by)) - 1
-    return dealt.withColumn("id", (F.element_at(first, F.col("_range")) + within).cast("long")).drop("_range")
+    return dealt.join(F.broadcast(first), "_range").withColumn("id", (F.col("_first") + within).cast("long")).drop("_range", "_first")
 
 
 def count(files: DataFrame) -> DataFrame:

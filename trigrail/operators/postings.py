@@ -17,10 +17,15 @@ def exploded(files: DataFrame) -> DataFrame:
 def build(files: DataFrame, fold_case: bool = False) -> DataFrame:
     """(trigram, file_id, freq). Counts are per file and so bounded by its path, whatever the trigram's frequency."""
     if fold_case:
-        files = files.withColumn("path", F.lower("path"))
+        files = files.withColumn("path", text.folded(F.col("path")))
     return exploded(files).groupBy("trigram", "file_id").agg(F.count("*").alias("freq"))
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Postings sorted by trigram, so that scans skip row groups; a trigram of very many files is dealt to several tasks."""
+    return rows.repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id")
+
+
 def dictionary(postings: DataFrame) -> DataFrame:
     """(trigram, num_files, num_occurrences)."""
     return postings.groupBy("trigram").agg(F.count("*").alias("num_files"), F.sum("freq").alias("num_occurrences"))

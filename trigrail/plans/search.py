@@ -1,17 +1,17 @@
-"""Queries and their plans: a trigram prefilter where a pattern has trigrams, then the exact test."""
+"""Queries and their plans: a trigram prefilter where a pattern has trigrams and it pays, then the exact test."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigrail import schema as S
-from trigrail.functions.text import literal_trigrams
+from trigrail.functions import text
 from trigrail.operators.permissions import readable
-from trigrail.plans.literals import required
+from trigrail.plans import boolean, choice
 
 
 @dataclass(frozen=True)
@@ -27,22 +27,23 @@ class Query:
 
 
 def matches(path: Column, pattern: str, ignore_case: bool = False, regex: bool = False) -> Column:
-    """Whether the pattern is somewhere in the path; regular expressions are Java's and not anchored."""
+    """Whether the pattern is somewhere in the path; regular expressions are Java's and not anchored. Ignoring case folds both sides by text.folded; expressions ignore that of ASCII letters."""
     if regex:
         return path.rlike(("(?i)" if ignore_case else "") + pattern)
-    return F.lower(path).contains(pattern.lower()) if ignore_case else path.contains(pattern)
+    return text.folded(path).contains(text.folded(F.lit(pattern))) if ignore_case else path.contains(pattern)
 
 
-def prefilter(pattern: str, ignore_case: bool = False, regex: bool = False) -> list[str]:
-    """Distinct trigrams that every match has (of the lower-cased path if case is ignored); none: no prefilter.
-
-    Of a regular expression that ignores case only ASCII counts: other letters fold by their surroundings.
-    """
-    runs = required(pattern) if regex else [pattern]
+def tree_of(spark: SparkSession, pattern: str, ignore_case: bool = False, regex: bool = False) -> boolean.Tree:
+    """What trigrams every match has, of the folded path if case is ignored. A literal is folded by Spark, as the paths are."""
+    if regex:
+        return boolean.of_regex(pattern, ignore_case)
     if ignore_case:
-        runs = ["".join(c if c.isascii() or not regex else "\0" for c in r.lower() if c) for r in runs]
-        runs = [part for r in runs for part in r.split("\0")] if regex else runs
-    return list(dict.fromkeys(g for r in runs for g in literal_trigrams(r)))
+        pattern = spark.range(1).select(text.folded(F.lit(pattern))).first()[0] if not pattern.isascii() else pattern.lower()
+    return boolean.of_strings([pattern])
+
+
+def trees(spark: SparkSession, query: Query) -> boolean.Tree:
+    return boolean.some_(*(tree_of(spark, p, query.ignore_case, query.regex) for p in query.patterns))
 
 
 def any_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -50,28 +51,38 @@ def any_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
     return postings.where(F.col("trigram").isin(trigrams)).select("file_id").distinct()
 
 
-def all_of(postings: DataFrame, *lists: list[str]) -> DataFrame:
-    """file_id of files with all trigrams of a list, of any of the lists (each distinct): a pushed-down filter and one aggregate, as postings has one row for each trigram of a file."""
-    asked = list(dict.fromkeys(g for grams in lists for g in grams))
-    counts = [F.count(F.when(F.col("trigram").isin(grams), 1)).alias(f"n{k}") for k, grams in enumerate(lists)]
-    met = postings.where(F.col("trigram").isin(asked)).groupBy("file_id").agg(*counts)
-    return met.where(reduce(lambda a, b: a | b, (F.col(f"n{k}") == len(grams) for k, grams in enumerate(lists)))).select("file_id")
+def all_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
+    """file_id of files with all of the (distinct) trigrams: a pushed-down filter and one aggregate, as postings has one row for each trigram of a file."""
+    met = postings.where(F.col("trigram").isin(trigrams)).groupBy("file_id").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") == len(trigrams)).select("file_id")
+
+
+def planned(spark: SparkSession, query: Query, dictionary: DataFrame | None = None, n_files: int | None = None, scan_below: int = 0) -> choice.Choice:
+    """How a query is answered. dictionary (trigram, num_files) with n_files: lists are measured, and those read that pay; catalogs of less than scan_below files are scanned."""
+    tree = trees(spark, query)
+    if dictionary is None or tree in (boolean.ANY, boolean.NONE):
+        return choice.choose(tree)
+    if n_files < scan_below:
+        return choice.Choice("scan", tree)
+    return choice.choose(tree, choice.measured(dictionary, tree), n_files)
 
 
-def search(files: DataFrame, query: Query, postings: DataFrame | None = None) -> DataFrame:
+def search(files: DataFrame, query: Query, postings: DataFrame | None = None, how: choice.Choice | None = None) -> DataFrame:
     """Matching, readable files (id, path), in the order of id if there is a limit.
 
-    postings: of the paths, lower-cased if the query ignores case; without them, or for patterns without
-    trigrams, all files are tested.
+    postings: of the paths, folded if the query ignores case; without them, or for patterns without
+    trigrams, all files are tested. how: from planned(), else all lists of the patterns are read.
     """
     tests = [matches(F.col("path"), p, query.ignore_case, query.regex) for p in query.patterns]
     if not tests:
         return files.select("id", "path").where(F.lit(False))
-    grams = [prefilter(p, query.ignore_case, query.regex) for p in query.patterns]
     rows = files
-    if postings is not None and all(grams):
-        ids = all_of(postings, *grams)
-        rows = files.join(ids.withColumnRenamed("file_id", "id"), "id", "left_semi")
+    if postings is not None:
+        how = how or planned(files.sparkSession, query)
+        if how.how == "nothing":
+            rows = files.where(F.lit(False))
+        elif how.how == "index":
+            rows = choice.narrowed(files, postings, how)
     rows = rows.where(reduce(lambda a, b: a | b, tests))
     if query.uid != 0:
         rows = rows.where(readable(F.col("permissions"), F.col("uid"), F.col("gid"), query.uid, query.gid))

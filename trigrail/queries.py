@@ -15,7 +15,7 @@ from trigrail import schema as S
 from trigrail import views
 from trigrail.functions import text
 from trigrail.operators import catalog, longtext, membership, permissions, postings, ranking
-from trigrail.plans.engine import Engine, laid_out
+from trigrail.plans.engine import Engine
 from trigrail.plans.search import Query, all_of, any_of, exact, matches, search
 from trigrail.sources import filesystem, snapshots
 from trigrail.streaming import changes
@@ -146,7 +146,7 @@ def _each(spark, sf_dir, patterns, ignore_case=False, regex=False) -> DataFrame:
     """Matches of each pattern, found through the written index where it helps."""
     files = views.files(spark, sf_dir)
     folder = f"{snapshots_folder(spark)}/index"
-    snapshots.save(laid_out(postings.build(files, fold_case=ignore_case)), folder)
+    snapshots.save(postings.laid_out(postings.build(files, fold_case=ignore_case)), folder)
     index = snapshots.load(spark, folder)
     found = [search(files, Query((p,), ignore_case, regex, limit=None), index).select(F.lit(p).alias("pattern"), "id", "path") for p in patterns]
     return reduce(DataFrame.unionByName, found)
@@ -172,6 +172,41 @@ def search_regex_icase(spark, sf_dir):
     return _each(spark, sf_dir, (r"EXAMPLE\.ORG", "UTM_[a-z]+"), ignore_case=True, regex=True)
 
 
+#: Alternatives, classes and repeats at the top level, which need conditions of ANDs and ORs.
+BOOLEAN = (r"(utm_source|utm_medium)=[a-z]+", r"example\.(org|com)/(en|fr)/[0-9]+$", r"\.html$|/de/", r"(foo|bar)[0-9]x+", r"[hw](ttps|ww).*(page|item)s?[/?]", r"(?:/[a-e][a-z])+/", r"(?i)EXAMPLE\.(ORG|NET)")
+
+
+@_query(f"SELECT pattern, id, path FROM files, (SELECT unnest([{_listed(BOOLEAN)}]) AS pattern) WHERE regexp_matches(path, pattern)")
+def search_regex_boolean(spark, sf_dir):
+    return _each(spark, sf_dir, BOOLEAN, regex=True)
+
+
+#: Of these some are rare, some in every path, some in none.
+PLANNED = (*PATTERNS, "https://", "qqqqq", "/en/1", "a.example.org/en/2")
+
+
+@_query(f"SELECT pattern, id, path FROM files, (SELECT unnest([{_listed(PLANNED)}]) AS pattern) WHERE contains(path, pattern) UNION ALL SELECT pattern, id, path FROM files, (SELECT unnest([{_listed(BOOLEAN)}]) AS pattern) WHERE regexp_matches(path, pattern)")
+def search_planned(spark, sf_dir):
+    """Each pattern by the plan that the lengths of its lists suggest: a scan, few lists and named candidates, or nothing to read."""
+    engine = Engine(spark, f"{snapshots_folder(spark)}/database", scan_below=0)
+    engine.build(views.files(spark, sf_dir))
+    asked = [(p, Query((p,), limit=None)) for p in PLANNED] + [(p, Query((p,), regex=True, limit=None)) for p in BOOLEAN]
+    return reduce(DataFrame.unionByName, [engine.search(q).select(F.lit(p).alias("pattern"), "id", "path") for p, q in asked])
+
+
+LETTERS = ("ÉTION", "über", "ÇOU", "Ñ", "ÖÜ", "ΑΣ")
+
+
+@_query(f"SELECT pattern, id FROM (SELECT doc_id AS id, '/' || lang || '/' || substring(text, 1, 200) AS path FROM documents), (SELECT unnest([{_listed(LETTERS)}]) AS pattern) WHERE contains(lower(path), lower(pattern))")
+def search_icase_letters(spark, sf_dir):
+    """Case ignored in names with letters beyond ASCII: the beginnings of documents play the paths."""
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), F.substring("text", 1, 200))
+    files = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path")).where("path is not null")
+    index = postings.build(files, fold_case=True)
+    found = [search(files, Query((p,), ignore_case=True, limit=None), index).select(F.lit(p).alias("pattern"), "id") for p in LETTERS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @_query("SELECT id, path FROM files WHERE contains(path, 'utm_source') OR contains(path, '.html')")
 def search_any_pattern(spark, sf_dir):
     files = views.files(spark, sf_dir)
@@ -317,7 +352,7 @@ def stream_apply(spark, sf_dir):
 @_query(f"SELECT path FROM {_APPLIED} WHERE contains(path, 'example.org') OR contains(path, '/f1')")
 def engine_apply_search(spark, sf_dir):
     """A database is built, changed twice (each batch comes again, as after a failure) and searched through its index."""
-    engine = Engine(spark, f"{snapshots_folder(spark)}/database")
+    engine = Engine(spark, f"{snapshots_folder(spark)}/database", scan_below=0)
     engine.build(views.files(spark, sf_dir).select(*S.FILES.names))
     for number, part in enumerate(_halves(spark, sf_dir)):
         for _ in range(2):
@@ -325,14 +360,51 @@ def engine_apply_search(spark, sf_dir):
     return engine.search(Query(("example.org", "/f1"), limit=None)).select("path")
 
 
+def _changed(spark, sf_dir, batches: int = 5) -> Engine:
+    """A database of the pages that so many batches of the change records have changed."""
+    engine = Engine(spark, f"{snapshots_folder(spark)}/database", scan_below=0)
+    engine.build(views.files(spark, sf_dir))
+    rows = views.changes(spark, sf_dir).select(*S.CHANGES.names)
+    cuts = rows.agg(F.percentile_approx("seq", [k / batches for k in range(1, batches)])).first()[0]
+    part = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(batches):
+        engine.apply(rows.where(part == k))
+    return engine
+
+
+SEGMENTS = ("example.org", "/u1", "f39", "/.f", "utm_source", "qqq")
+
+
+@_query(f"SELECT pattern, path FROM {_APPLIED}, (SELECT unnest([{_listed(SEGMENTS)}]) AS pattern) WHERE contains(path, pattern)")
+def segment_search(spark, sf_dir):
+    """Searches over the segments that batches of changes have left, through their lists."""
+    engine = _changed(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [engine.search(Query((p,), limit=None)).select(F.lit(p).alias("pattern"), "path") for p in SEGMENTS])
+
+
+@_query(f"SELECT trigram, count(*) AS num_files, CAST(sum(freq) AS BIGINT) AS num_occurrences FROM (SELECT path, trigram, count(*) AS freq FROM (SELECT path, substring(path, i, 3) AS trigram FROM (SELECT path, unnest(range(1, length(path) - 1)) AS i FROM {_APPLIED})) GROUP BY ALL) GROUP BY trigram")
+def compaction(spark, sf_dir):
+    """The dictionary of a database after batches of changes, the merging of full tiers, then of all segments, and the removal of what is left over."""
+    engine = _changed(spark, sf_dir)
+    while engine.compact():
+        pass
+    engine.compact(everything=True)
+    engine.vacuum(idle=0)
+    return postings.dictionary(engine.table("postings"))
+
+
 @_query("SELECT 'd' || (page_id % 7) || '/p' || page_id || '.html' AS path FROM pages")
 def scan_tree(spark, sf_dir):
-    """Paths below the root of a scanned tree, which has a file for each page (it is made in the shared folder)."""
+    """Paths below the root of a scanned tree, which has a file for each page (tasks make it in the shared folder)."""
     root = f"{snapshots_folder(spark)}/tree".removeprefix("file:").replace("//", "/")
-    for r in views.table(spark, sf_dir, "pages").select("page_id").toLocalIterator():
-        file = Path(root, f"d{r.page_id % 7}", f"p{r.page_id}.html")
-        file.parent.mkdir(parents=True, exist_ok=True)
-        file.touch()
+
+    def make(rows) -> None:
+        for r in rows:
+            file = Path(root, f"d{r.page_id % 7}", f"p{r.page_id}.html")
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.touch()
+
+    views.table(spark, sf_dir, "pages").select("page_id").foreachPartition(make)
     return filesystem.scan(spark, root).select(F.col("path").substr(F.lit(len(os.path.realpath(root)) + 2), F.length("path")).alias("path"))
 
 

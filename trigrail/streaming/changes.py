@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,11 @@ def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     return rest.select(*names).unionByName(changed.select(*names)).unionByName(added.select(*names))
 
 
+def identity(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a started query keeps in its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def follow(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 30):
     """Starts a query that merges each micro-batch; its checkpoint makes every batch count once."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
