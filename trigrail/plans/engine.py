@@ -96,6 +96,8 @@ class Engine:
             return
         final = snapshots.held(changes.last(batch if "action" in batch.columns else changes.classified(batch)))
         n = final.count()
+        if not n:
+            return
         sent = F.broadcast(final.alias("n")) if n <= segments.SENT else final.alias("n")
         met = snapshots.held(self.store.files(state).alias("o").join(sent, F.col("o.path") == F.col("n.path")).select(*[F.col(f"o.{c}").alias(f"o_{c}") for c in (*S.FILES.names, "segment")], *[F.col(f"n.{c}").alias(f"n_{c}") for c in final.columns]))
         new = {c: F.col(f"n_{c}") if c in final.columns else F.lit(None) for c in ("permissions", "uid", "gid", "modified")}
@@ -123,7 +125,7 @@ class Engine:
         """Deletes older versions and what only they, or no version, have."""
         return self.store.vacuum(keep, idle)
 
-    def follow(self, stream: DataFrame, checkpoint: str, seconds: int = 30):
+    def follow(self, stream: DataFrame, checkpoint: str, seconds: int = 30, once: bool = False):
         """A started streaming query that applies every micro-batch once, also if one is repeated after a failure, and merges full tiers; stop it with changes.stop().
 
         Batches are known by the id of the query in its checkpoint: with a new checkpoint it is another stream, and starts anew.
@@ -134,7 +136,7 @@ class Engine:
             while self.compact():
                 pass
 
-        return changes.follow(stream, merge, checkpoint, seconds)
+        return changes.follow(stream, merge, checkpoint, seconds, once)
 
     def close(self) -> None:
         self.spark.catalog.clearCache()

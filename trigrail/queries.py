@@ -18,7 +18,7 @@ from trigrail.operators import catalog, longtext, membership, permissions, posti
 from trigrail.plans.engine import Engine
 from trigrail.plans.search import Query, all_of, any_of, exact, matches, search
 from trigrail.sources import filesystem, snapshots
-from trigrail.streaming import changes
+from trigrail.streaming import changes, state, watch
 
 PATTERN = "example.org"
 PATTERNS = ("example.org", "utm_source", "/en/", ".html", "EXAMPLE", "zzz", "ab", "en", "")
@@ -349,6 +349,20 @@ def stream_apply(spark, sf_dir):
     return snapshots.load(spark, state).select("path")
 
 
+@_query(f"SELECT path FROM {_APPLIED}")
+def stateful_apply(spark, sf_dir):
+    """The same from records that come in no order and in part twice: keyed state lets only news of a path go on to the merge."""
+    place = snapshots_folder(spark)
+    snapshots.save(views.files(spark, sf_dir), f"{place}/files")
+    rows = views.changes(spark, sf_dir).select(*S.CHANGES.names)
+    for k in range(3):
+        part = F.pmod(F.xxhash64("seq"), F.lit(3))
+        rows.where((part == k) | (F.col("seq") % 11 == k)).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    news = state.latest(changes.read(spark, f"{place}/in", 1))
+    changes.follow(news, lambda b, _: snapshots.save(changes.applied(snapshots.load(spark, f"{place}/files"), b), f"{place}/files"), f"{place}/checkpoint", once=True).awaitTermination()
+    return snapshots.load(spark, f"{place}/files").select("path")
+
+
 @_query(f"SELECT path FROM {_APPLIED} WHERE contains(path, 'example.org') OR contains(path, '/f1')")
 def engine_apply_search(spark, sf_dir):
     """A database is built, changed twice (each batch comes again, as after a failure) and searched through its index."""
@@ -396,16 +410,50 @@ def compaction(spark, sf_dir):
 @_query("SELECT 'd' || (page_id % 7) || '/p' || page_id || '.html' AS path FROM pages")
 def scan_tree(spark, sf_dir):
     """Paths below the root of a scanned tree, which has a file for each page (tasks make it in the shared folder)."""
-    root = f"{snapshots_folder(spark)}/tree".removeprefix("file:").replace("//", "/")
+    root = _tree(spark)
+    _touch(views.table(spark, sf_dir, "pages").select(_PAGE_FILE), root)
+    return _below(filesystem.scan(spark, root), root)
+
+
+_PAGE_FILE = F.expr("concat('d', page_id % 7, '/p', page_id, '.html') AS name")
+
+
+def _tree(spark: SparkSession) -> str:
+    return f"{snapshots_folder(spark)}/tree".removeprefix("file:").replace("//", "/")
+
+
+def _touch(names: DataFrame, root: str, there: bool = True) -> None:
+    """Tasks make empty files below root, or take them away."""
 
     def make(rows) -> None:
         for r in rows:
-            file = Path(root, f"d{r.page_id % 7}", f"p{r.page_id}.html")
+            file = Path(root, r.name)
             file.parent.mkdir(parents=True, exist_ok=True)
-            file.touch()
+            file.touch() if there else file.unlink()
+
+    names.foreachPartition(make)
+
+
+def _below(files: DataFrame, root: str) -> DataFrame:
+    return files.select(F.col("path").substr(F.lit(len(os.path.realpath(root)) + 2), F.length("path")).alias("path"))
+
+
+@_query("SELECT CASE WHEN page_id % 5 = 1 THEN 'new/p' || page_id || '.html' ELSE 'd' || (page_id % 7) || '/p' || page_id || '.html' END AS path FROM pages WHERE page_id % 3 <> 0")
+def tree_changes(spark, sf_dir):
+    """The catalog of a tree that a stream of its changes follows: pages' files are made, then some go and some get another folder; the query starts anew between."""
+    root, place = _tree(spark), snapshots_folder(spark)
+    pages = views.table(spark, sf_dir, "pages")
+    engine = Engine(spark, f"{place}/database")
+
+    def follow() -> None:
+        engine.follow(watch.changes_of(spark, root, f"{place}/listings", tasks="3"), f"{place}/checkpoint", once=True).awaitTermination()
 
-    views.table(spark, sf_dir, "pages").select("page_id").foreachPartition(make)
-    return filesystem.scan(spark, root).select(F.col("path").substr(F.lit(len(os.path.realpath(root)) + 2), F.length("path")).alias("path"))
+    _touch(pages.select(_PAGE_FILE), root)
+    follow()
+    _touch(pages.where("page_id % 3 = 0 OR page_id % 5 = 1").select(_PAGE_FILE), root, there=False)
+    _touch(pages.where("page_id % 3 <> 0 AND page_id % 5 = 1").select(F.expr("concat('new/p', page_id, '.html') AS name")), root)
+    follow()
+    return _below(engine.table("files"), root)
 
 
 @_query("SELECT file_id, pos, trigram FROM grams")

@@ -19,11 +19,11 @@ from trigrail import schema as S
 log = logging.getLogger(__name__)
 
 
-def entries(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True) -> Iterator[tuple]:
-    """Rows for regular files (and symbolic links) below folder. Links are not followed; folders that can't be read, are missing or lie deeper than most are skipped."""
+def found(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True) -> Iterator[tuple[str, os.stat_result]]:
+    """Regular files (and symbolic links) below folder. Links are not followed; folders that can't be read, are missing or lie deeper than most are skipped, and names that aren't UTF-8."""
     try:
-        with os.scandir(folder) as found:
-            some = sorted(found, key=lambda e: e.name)
+        with os.scandir(folder) as listed:
+            some = sorted(listed, key=lambda e: e.name)
     except OSError as e:
         log.warning("skipped the folder %s: %s", folder, e)
         return
@@ -31,17 +31,24 @@ def entries(folder: str, depth: int, most: int, hidden: bool, links: bool, deep:
         if e.name.startswith(".") and not hidden:
             continue
         try:
+            e.name.encode()
             s = e.stat(follow_symlinks=False)
-        except OSError as why:
-            log.warning("skipped %s: %s", e.path, why)
+        except (OSError, UnicodeEncodeError) as why:
+            log.warning("skipped %r: %s", e.path, why)
             continue
         if stat.S_ISDIR(s.st_mode):
             if deep and depth >= most:
                 log.warning("skipped the folder %s: deeper than %d", e.path, most)
             elif deep:
-                yield from entries(e.path, depth + 1, most, hidden, links)
+                yield from found(e.path, depth + 1, most, hidden, links)
         elif stat.S_ISREG(s.st_mode) or (links and stat.S_ISLNK(s.st_mode)):
-            yield e.path, s.st_mode, s.st_uid, s.st_gid, datetime.fromtimestamp(int(s.st_mtime), UTC)
+            yield e.path, s
+
+
+def entries(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True) -> Iterator[tuple]:
+    """Rows for what found() finds."""
+    for path, s in found(folder, depth, most, hidden, links, deep):
+        yield path, s.st_mode, s.st_uid, s.st_gid, datetime.fromtimestamp(int(s.st_mtime), UTC)
 
 
 class Subtree(InputPartition):

@@ -63,9 +63,10 @@ def identity(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def follow(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 30):
-    """Starts a query that merges each micro-batch; its checkpoint makes every batch count once."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+def follow(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 30, once: bool = False):
+    """Starts a query that merges each micro-batch; its checkpoint makes every batch count once. once: it merges what there is, then ends."""
+    when = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def stop(query) -> None:
