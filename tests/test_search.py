@@ -55,7 +55,7 @@ def asked(pattern, folded=False):
 
 def test_trees_of_expressions():
     some, every = boolean.some_, boolean.all_
-    assert asked("(foo|bar)[0-9]x+") == some("foo", "bar") or boolean.trigrams(asked("(foo|bar)[0-9]x+")) >= {"foo", "bar"}
+    assert asked("(foo|bar)[0-9]x+") == some("foo", "bar") or boolean.leaves(asked("(foo|bar)[0-9]x+")) >= {"foo", "bar"}
     assert not boolean.holds(asked("(foo|bar)[0-9]x+"), {"fox", "ba0"}) and boolean.holds(asked("(foo|bar)[0-9]x+"), {"foo", "oo1", "o1x"})
     assert asked("abc|def") == some("abc", "def") and asked("abc.*def") == every("abc", "def")
     assert asked("ab[cd]e") == some(every("abc", "bce"), every("abd", "bde")) and asked("abcd?e") == some(every("abc", "bcd", "cde"), every("abc", "bce"))
@@ -65,7 +65,7 @@ def test_trees_of_expressions():
         assert asked(nothing) == boolean.ANY, nothing
     assert asked("(?i)abc") == some(*(a + b + c for a in "aA" for b in "bB" for c in "cC"))
     assert asked("Éabcd", True) == every("abc", "bcd") and asked("ABC", True) == "abc"
-    assert len(boolean.trigrams(asked("[a-j][a-j][a-j][a-j]"))) <= 3 * boolean.MANY**2
+    assert len(boolean.leaves(asked("[a-j][a-j][a-j][a-j]"))) <= 3 * boolean.MANY**2
     assert asked("(" * 3000 + "a" + ")" * 3000) == boolean.ANY
 
 
@@ -92,23 +92,42 @@ def test_planned_searches_find_what_a_scan_finds(spark, names, ignore_case):
         assert {r.id for r in search(names.drop("block"), q, index, how).collect()} == want, q
         assert {r.id for r in search(names, q, index).collect()} == want, q
         assert how.bound is None or how.how == "scan" or len(want) <= how.bound
-    assert found["needle"].how == "index" and len(boolean.trigrams(found["needle"].tree)) == 4
+    assert found["needle"].how == "index" and len(boolean.leaves(found["needle"].tree)) == 4
     assert found["common"].how == "scan" and found["qqqq"].how == "nothing"
-    assert boolean.trigrams(found["xx/needle"].tree) == {"xx/", "x/n", "/ne", "nee"} or len(boolean.trigrams(found["xx/needle"].tree)) <= 1 + choice.MORE
+    assert boolean.leaves(found["xx/needle"].tree) == {"xx/", "x/n", "/ne", "nee"} or len(boolean.leaves(found["xx/needle"].tree)) <= 1 + choice.MORE
     assert found["co(mm|nn)on/6"].how != "nothing"
 
 
+SHORT = ["", "a", "ab", "abc", "/é", "/x/é", "b.", "..", "/", "é", "a.b/c", "ßß", "xyz.é", "ABC", "/ΣΑΣ"]
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_short_patterns_use_tails(spark, ignore_case):
+    files = spark.createDataFrame([*enumerate(SHORT)], "id long, path string").withColumn("block", F.lit(0))
+    index = postings.build(files, ignore_case).unionByName(postings.tails(files, ignore_case)).cache()
+    lengths = postings.dictionary(index).cache()
+    for patterns in (["ab"], ["é"], ["."], ["a"], ["b"], ["/"], [".é"], ["c"], ["ßß"], ["q"], ["Σ"], ["ab", "é"], ["abc", "."]):
+        q = Query(tuple(patterns), ignore_case, limit=None)
+        how = planned(spark, q, lengths, 10_000, tails=True)
+        got = [search(files, q, index, how)] + [search(files, q, index, choice.choose(how.tree))] * (how.how == "index")
+        want = {r.id for r in search(files, q).collect()}
+        assert [{r.id for r in g.collect()} for g in got] == [want] * len(got)
+        assert how.how == ("index" if want else "nothing")
+        if want and all(len(p) < 3 for p in patterns):  # no others pass
+            assert {r.file_id for r in choice.candidates(index, how.tree).collect()} == want
+
+
 def test_plans_read_the_rarest_lists():
     tree, counts = boolean.of_strings(["abcdefg"]), {"abc": 900, "bcd": 10, "cde": 500, "def": 30, "efg": 41}
     how = choice.choose(tree, counts, 10_000)
-    assert (how.how, how.bound, how.reads, boolean.trigrams(how.tree)) == ("index", 10, 40, {"bcd", "def"})
+    assert (how.how, how.bound, how.reads, boolean.leaves(how.tree)) == ("index", 10, 40, {"bcd", "def"})
     assert choice.choose(tree, counts, 100).how == "scan" and choice.choose(tree, {**counts, "efg": 0}, 10_000).how == "nothing"
     either = boolean.some_(tree, "xyz")
     assert choice.choose(either, {**counts, "xyz": 5}, 10_000).bound == 15 and choice.choose(either, {"xyz": 5}, 10_000).tree == "xyz"
     many = boolean.of_strings(["".join(chr(97 + i) for i in (a, b, c)) for a in range(5) for b in range(5) for c in range(5)])
-    assert choice.choose(many, dict.fromkeys(boolean.trigrams(many), 1), 10_000).how == "scan"
+    assert choice.choose(many, dict.fromkeys(boolean.leaves(many), 1), 10_000).how == "scan"
     assert choice.choose(boolean.all_(many, "xyz"), None).tree == "xyz"
-    assert choice.choose(boolean.all_(many, "xyz"), dict.fromkeys([*boolean.trigrams(many), "xyz"], 1), 10_000).how == "index"
+    assert choice.choose(boolean.all_(many, "xyz"), dict.fromkeys([*boolean.leaves(many), "xyz"], 1), 10_000).how == "index"
 
 
 @pytest.mark.parametrize("pattern", ["ΑΣ", "ας", "İ", "i̇x", "ﬁ", "ſ", "Σ", "ΣΑΣ", "ß", "İX/LOG"])

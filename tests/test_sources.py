@@ -223,6 +223,9 @@ def test_named_candidates_open_only_their_blocks(spark, tmp_path, monkeypatch):
     e = Engine(spark, f"{tmp_path}/db", scan_below=0)
     e.build(spark.createDataFrame([(k, f"/x/{k}" + "/needle" * (k == 300), 1, 1, 1, None) for k in range(640)], S.FILES))
     assert e.explain(Query(("needle",))).how == "index" and e.explain(Query(("/x/",))).how == "scan"
+    assert e.explain(Query(("dl",))).how == "index" and [r.id for r in e.search(Query(("dl",))).collect()] == [300]
+    lists = e.store.read("postings", e.store.state().segments).where(F.col("trigram").startswith("dl"))
+    assert "StringStartsWith(trigram,dl)" in lists._jdf.queryExecution().executedPlan().toString()
     found = e.search(Query(("needle",), limit=None))
     assert [r.id for r in found.collect()] == [300]
     scan = next(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x or "Scan parquet" in x)

@@ -21,6 +21,16 @@ def build(files: DataFrame, fold_case: bool = False) -> DataFrame:
     return exploded(files).groupBy("trigram", "file_id").agg(F.count("*").alias("freq"))
 
 
+def tails(files: DataFrame, fold_case: bool = False) -> DataFrame:
+    """(trigram, file_id, freq) of the last two characters of each path and of its last one, in place of the trigrams that would begin there.
+
+    With them a string of one or two characters is in a path if, and only if, a row of the path begins with it.
+    """
+    path = text.folded(F.col("path")) if fold_case else F.col("path")
+    rows = files.select(F.explode(F.array_distinct(F.array(F.right(path, F.lit(2)), F.right(path, F.lit(1))))).alias("trigram"), F.col("id").alias("file_id"), F.lit(1).cast("long").alias("freq"))
+    return rows.where(F.length("trigram") > 0)
+
+
 def laid_out(rows: DataFrame) -> DataFrame:
     """Postings sorted by trigram, so that scans skip row groups; a trigram of very many files is dealt to several tasks."""
     return rows.repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trigrail.plans.boolean import ANY, NONE, All, Some, Tree, all_, some_, trigrams
+from trigrail.plans.boolean import ANY, NONE, All, Some, Start, Tree, all_, leaves, some_
 
 #: Catalogs up to this many files are scanned at once: that is a stage over a few dozen MB.
 SCAN_FILES = 500_000
@@ -33,21 +33,21 @@ class Choice:
 
 
 def fitting(tree: Tree, room: int = BITS) -> Tree:
-    """The tree, or a weaker one with at most room trigrams."""
-    if len(trigrams(tree)) <= room:
+    """The tree, or a weaker one with at most room leaves."""
+    if len(leaves(tree)) <= room:
         return tree
     if isinstance(tree, Some):
         return ANY
     parts: list[Tree] = []
-    for p in sorted(tree.parts, key=lambda p: (len(trigrams(p)), str(p))):
-        if len(trigrams(All(frozenset([*parts, p])))) <= room:
+    for p in sorted(tree.parts, key=lambda p: (len(leaves(p)), str(p))):
+        if len(leaves(All(frozenset([*parts, p])))) <= room:
             parts.append(p)
     return all_(*parts)
 
 
-def _rarest(tree: Tree, counts: dict[str, int]) -> tuple[Tree, int]:
-    """(the tree without parts that aren't worth their reading, most files that pass it). A trigram that is not in counts is in no file."""
-    if isinstance(tree, str):
+def _rarest(tree: Tree, counts: dict) -> tuple[Tree, int]:
+    """(the tree without parts that aren't worth their reading, most files that pass it). A leaf that is not in counts is of no file."""
+    if isinstance(tree, str | Start):
         n = counts.get(tree, 0)
         return (tree if n else NONE), n
     parts = [_rarest(p, counts) for p in tree.parts]
@@ -58,8 +58,8 @@ def _rarest(tree: Tree, counts: dict[str, int]) -> tuple[Tree, int]:
     return all_(*(p for k, (p, n) in enumerate(parts) if k == 0 or (k <= MORE and n <= TIMES * least))), least
 
 
-def choose(tree: Tree, counts: dict[str, int] | None = None, n_files: int | None = None) -> Choice:
-    """counts: in how many files each of the tree's trigrams is, at most; n_files: of the catalog. Without them all lists are read that fit."""
+def choose(tree: Tree, counts: dict | None = None, n_files: int | None = None) -> Choice:
+    """counts: of how many files each of the tree's leaves is, at most; n_files: of the catalog. Without them all lists are read that fit."""
     if tree == NONE:
         return Choice("nothing", tree)
     if tree == ANY:
@@ -70,31 +70,51 @@ def choose(tree: Tree, counts: dict[str, int] | None = None, n_files: int | None
     tree, bound = _rarest(tree, counts)
     if tree == NONE:
         return Choice("nothing", tree, 0, 0)
-    if len(trigrams(tree)) > BITS:
+    if len(leaves(tree)) > BITS:
         return Choice("scan", ANY)
-    reads = sum(counts[g] for g in trigrams(tree))
+    reads = sum(counts[g] for g in leaves(tree))
     return Choice("index" if reads + bound <= SHARE * n_files else "scan", tree, bound, reads)
 
 
-def measured(dictionary: DataFrame, tree: Tree) -> dict[str, int]:
-    """num_files of the tree's trigrams; rows of one trigram (of several segments) add up. At most a row for each comes to the driver."""
-    asked = dictionary.where(F.col("trigram").isin(sorted(trigrams(tree))))
-    return {r.trigram: r.n for r in asked.groupBy("trigram").agg(F.sum("num_files").alias("n")).collect()}
+def _of(leaf: str | Start) -> Column:
+    """Whether a row of postings or of a dictionary is of the leaf; both forms are pushed down to scans."""
+    return F.col("trigram").startswith(leaf.start) if isinstance(leaf, Start) else F.col("trigram") == leaf
+
+
+def _any(some: set) -> Column:
+    grams = sorted(x for x in some if isinstance(x, str))
+    return reduce(lambda a, b: a | b, [*([F.col("trigram").isin(grams)] if grams else []), *(_of(x) for x in sorted(some - {*grams}, key=str))])
+
+
+def measured(dictionary: DataFrame, tree: Tree) -> dict[str | Start, int]:
+    """Rows of postings of each leaf that has some; rows of one trigram (of several segments) add up. A row for each trigram asked for, and a number for each beginning, come to the driver."""
+    starts = sorted((x for x in leaves(tree) if isinstance(x, Start)), key=str)
+    grams = leaves(tree) - {*starts}
+    out = {}
+    if grams:
+        out = {r.trigram: r.n for r in dictionary.where(_any(grams)).groupBy("trigram").agg(F.sum("num_files").alias("n")).collect()}
+    if starts:
+        sums = dictionary.where(_any({*starts})).agg(*[F.sum(F.when(_of(x), F.col("num_files"))) for x in starts]).first()
+        out |= {x: n for x, n in zip(starts, sums, strict=True) if n}
+    return out
 
 
 def candidates(postings: DataFrame, tree: Tree) -> DataFrame:
-    """file_id of the files for which the tree holds: one pass over its lists, one aggregate with a bit for each trigram."""
-    grams = sorted(trigrams(tree))
-    rows = postings.where(F.col("trigram").isin(grams))
-    if len(grams) == 1:
+    """file_id of the files for which the tree holds: one pass over its lists, one aggregate with a bit for each leaf."""
+    some = sorted(leaves(tree), key=str)
+    rows = postings.where(_any({*some}))
+    if len(some) == 1:
         return rows.select("file_id").distinct()
-    bit = F.create_map(*[F.lit(x) for i, g in enumerate(grams) for x in (g, 1 << i)])
-    found = rows.groupBy("file_id").agg(F.bit_or(F.element_at(bit, F.col("trigram")).cast("long")).alias("found"))
-    return found.where(_test(tree, {g: 1 << i for i, g in enumerate(grams)})).select("file_id")
+    bits = {x: 1 << i for i, x in enumerate(some)}
+    grams = [x for x in some if isinstance(x, str)]
+    mine = [F.coalesce(F.element_at(F.create_map(*[F.lit(y) for g in grams for y in (g, bits[g])]), F.col("trigram")).cast("long"), F.lit(0).cast("long"))] if grams else []
+    mine += [F.when(_of(x), F.lit(bits[x]).cast("long")).otherwise(F.lit(0).cast("long")) for x in some if isinstance(x, Start)]
+    found = rows.groupBy("file_id").agg(F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), mine)).alias("found"))
+    return found.where(_test(tree, bits)).select("file_id")
 
 
-def _test(tree: Tree, bits: dict[str, int]) -> Column:
-    if isinstance(tree, str):
+def _test(tree: Tree, bits: dict) -> Column:
+    if isinstance(tree, str | Start):
         return F.col("found").bitwiseAND(F.lit(bits[tree]).cast("long")) != 0
     return reduce(lambda a, b: a & b if isinstance(tree, All) else a | b, (_test(p, bits) for p in sorted(tree.parts, key=str)))
 

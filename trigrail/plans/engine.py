@@ -30,7 +30,7 @@ class Engine:
     def table(self, name: str, at: int | None = None) -> DataFrame:
         """Live rows of files, postings or postings_folded, now or of version at."""
         state = self.store.state(at)
-        return self.store.files(state).select(*S.FILES.names) if name == "files" else self.store.postings(state, name)
+        return self.store.files(state).select(*S.FILES.names) if name == "files" else self.store.postings(state, name).where(F.length("trigram") == S.TRIGRAM)
 
     def update(self, root: str, **options: str) -> None:
         """Scans the tree below root and replaces the catalog and the index."""
@@ -46,7 +46,7 @@ class Engine:
 
     def _planned(self, state: segments.State, query: Query) -> choice.Choice:
         lengths = self.store.read(f"{self._index(query)}_lengths", state.segments)
-        return planned(self.spark, query, lengths, state.n_files, self.scan_below)
+        return planned(self.spark, query, lengths, state.n_files, self.scan_below, tails=True)
 
     @staticmethod
     def _index(query: Query) -> str:
@@ -77,7 +77,7 @@ class Engine:
 
     def may_match(self, query: Query) -> bool:
         """False if no path can match: of every pattern a trigram that it needs stands in no list."""
-        state, tree = self.store.state(), trees(self.spark, query)
+        state, tree = self.store.state(), trees(self.spark, query, tails=True)
         if tree == boolean.ANY:
             return True
         known = choice.measured(self.store.read(f"{self._index(query)}_lengths", state.segments), tree)

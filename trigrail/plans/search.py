@@ -33,17 +33,17 @@ def matches(path: Column, pattern: str, ignore_case: bool = False, regex: bool =
     return text.folded(path).contains(text.folded(F.lit(pattern))) if ignore_case else path.contains(pattern)
 
 
-def tree_of(spark: SparkSession, pattern: str, ignore_case: bool = False, regex: bool = False) -> boolean.Tree:
-    """What trigrams every match has, of the folded path if case is ignored. A literal is folded by Spark, as the paths are."""
+def tree_of(spark: SparkSession, pattern: str, ignore_case: bool = False, regex: bool = False, tails: bool = False) -> boolean.Tree:
+    """What trigrams every match has, of the folded path if case is ignored. A literal is folded by Spark, as the paths are. tails: the index has those of paths, so that short literals can use it."""
     if regex:
         return boolean.of_regex(pattern, ignore_case)
     if ignore_case:
         pattern = spark.range(1).select(text.folded(F.lit(pattern))).first()[0] if not pattern.isascii() else pattern.lower()
-    return boolean.of_strings([pattern])
+    return boolean.of_strings([pattern], tails)
 
 
-def trees(spark: SparkSession, query: Query) -> boolean.Tree:
-    return boolean.some_(*(tree_of(spark, p, query.ignore_case, query.regex) for p in query.patterns))
+def trees(spark: SparkSession, query: Query, tails: bool = False) -> boolean.Tree:
+    return boolean.some_(*(tree_of(spark, p, query.ignore_case, query.regex, tails) for p in query.patterns))
 
 
 def any_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -57,9 +57,9 @@ def all_of(postings: DataFrame, trigrams: list[str]) -> DataFrame:
     return met.where(F.col("n") == len(trigrams)).select("file_id")
 
 
-def planned(spark: SparkSession, query: Query, dictionary: DataFrame | None = None, n_files: int | None = None, scan_below: int = 0) -> choice.Choice:
+def planned(spark: SparkSession, query: Query, dictionary: DataFrame | None = None, n_files: int | None = None, scan_below: int = 0, tails: bool = False) -> choice.Choice:
     """How a query is answered. dictionary (trigram, num_files) with n_files: lists are measured, and those read that pay; catalogs of less than scan_below files are scanned."""
-    tree = trees(spark, query)
+    tree = trees(spark, query, tails)
     if dictionary is None or tree in (boolean.ANY, boolean.NONE):
         return choice.choose(tree)
     if n_files < scan_below:

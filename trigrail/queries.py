@@ -182,7 +182,7 @@ def search_regex_boolean(spark, sf_dir):
 
 
 #: Of these some are rare, some in every path, some in none.
-PLANNED = (*PATTERNS, "https://", "qqqqq", "/en/1", "a.example.org/en/2")
+PLANNED = (*PATTERNS, "/", "9", "q", "https://", "qqqqq", "/en/1", "a.example.org/en/2")
 
 
 @_query(f"SELECT pattern, id, path FROM files, (SELECT unnest([{_listed(PLANNED)}]) AS pattern) WHERE contains(path, pattern) UNION ALL SELECT pattern, id, path FROM files, (SELECT unnest([{_listed(BOOLEAN)}]) AS pattern) WHERE regexp_matches(path, pattern)")

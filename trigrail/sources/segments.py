@@ -1,6 +1,6 @@
 """A database as segments: what a batch of changes adds is a small segment of its own, what it takes away a list of rows.
 
-A segment has rows of the catalog and, by trigram, the postings of exactly these rows, plain and folded, with the lengths of the lists. Rows that a
+A segment has rows of the catalog and, by trigram, the postings of exactly these rows and their tails, plain and folded, with the lengths of the lists. Rows that a
 later batch replaced or deleted stay in their segment and are named, by segment and id, in a table of deletions; a live row stands in one segment.
 A version is a commit that names its segments and deletions, with how many rows each has. Merging makes one segment of several, without their deleted rows.
 Tables lie in folders segment=<name>, so that any set of segments is one scan, which knows each row's segment; catalog rows lie in blocks of ids.
@@ -94,7 +94,7 @@ class Store:
         rows = files.select(*S.FILES.names, F.shiftright("id", BLOCK).cast("int").alias("block"))
         self._put(rows, "files", name, n, "id", parts=("block",))
         for table, fold in INDEXES:
-            self._put(index[table] if index else postings.build(files, fold), table, name, n * LONG, "trigram", "file_id")
+            self._put(index[table] if index else postings.build(files, fold).unionByName(postings.tails(files, fold)), table, name, n * LONG, "trigram", "file_id")
             lists = self.read(table, [name]).groupBy("trigram").agg(F.count("*").alias("num_files"))
             self._put(lists, f"{table}_lengths", name, n, "trigram")
         return {name: n}
@@ -119,7 +119,7 @@ class Store:
         return self._alive(self.read("files", state.segments if names is None else names), state, "id")
 
     def postings(self, state: State, table: str, names=None) -> DataFrame:
-        """Live postings (trigram, file_id, freq)."""
+        """Live postings (trigram, file_id, freq), the paths' tails (of less than three characters) among them."""
         return self._alive(self.read(table, state.segments if names is None else names), state, "file_id").select("trigram", "file_id", "freq")
 
     def due(self, state: State) -> list[str]:
