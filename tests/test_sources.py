@@ -217,13 +217,26 @@ def test_a_stream_with_a_new_checkpoint_is_another_one(spark, tmp_path, caplog):
     assert "/a/one.log" in paths(e.table("files")) and "skipped" in caplog.text
 
 
+def test_segments_without_a_match_are_not_opened(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path}/db", scan_below=0)
+    e.build(spark.createDataFrame([(k, f"/x/{k}", 1, 1, 1, None) for k in range(50)], S.FILES))
+    for path in ("/zebra/one", "/zeal/brass"):
+        e.apply(spark.createDataFrame([(1, "create", path, None, None)], S.CHANGES))
+    for pattern, regex, n, want in (("zebra", False, 1, 1), ("ze", False, 2, 2), ("zebra|x/1$", True, 2, 2), ("zebrass", False, 0, 0), ("x", False, 1, 50), ("", False, 3, 52)):
+        q = Query((pattern,), regex=regex, limit=None)
+        assert len(e.explain(q)[1]) == n and e.search(q).count() == want
+    opened = {f.split("segment=")[1].split("/")[0] for f in e.search(Query(("zebra",), limit=None)).inputFiles()}
+    assert opened == {*e.explain(Query(("zebra",)))[1]}
+    assert e.explain(Query(("zebrass",)))[0].how == "nothing" and not e.may_match(Query(("zebrass",))) and e.may_match(Query(("bra",)))
+
+
 def test_named_candidates_open_only_their_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(choice, "BLOCK", 6)
     monkeypatch.setattr(segments, "BLOCK", 6)
     e = Engine(spark, f"{tmp_path}/db", scan_below=0)
     e.build(spark.createDataFrame([(k, f"/x/{k}" + "/needle" * (k == 300), 1, 1, 1, None) for k in range(640)], S.FILES))
-    assert e.explain(Query(("needle",))).how == "index" and e.explain(Query(("/x/",))).how == "scan"
-    assert e.explain(Query(("dl",))).how == "index" and [r.id for r in e.search(Query(("dl",))).collect()] == [300]
+    assert e.explain(Query(("needle",)))[0].how == "index" and e.explain(Query(("/x/",)))[0].how == "scan"
+    assert e.explain(Query(("dl",)))[0].how == "index" and [r.id for r in e.search(Query(("dl",))).collect()] == [300]
     lists = e.store.read("postings", e.store.state().segments).where(F.col("trigram").startswith("dl"))
     assert "StringStartsWith(trigram,dl)" in lists._jdf.queryExecution().executedPlan().toString()
     found = e.search(Query(("needle",), limit=None))

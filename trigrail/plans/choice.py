@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trigrail.plans.boolean import ANY, NONE, All, Some, Start, Tree, all_, leaves, some_
+from trigrail.plans.boolean import ANY, NONE, All, Some, Start, Tree, all_, holds, leaves, some_
 
-#: Catalogs up to this many files are scanned at once: that is a stage over a few dozen MB.
-SCAN_FILES = 500_000
+#: Catalogs of less files are scanned at once: that is a stage over some dozen MB, where the index has jobs for the lengths of lists and for candidates first.
+SCAN_FILES = 2_000_000
 #: The index is used if it reads at most this share of the catalog's number of files, of posting and catalog rows together.
 SHARE = 0.25
 #: Of an AND the rarest part is read and these more, if they are at most so many times longer.
@@ -86,19 +86,38 @@ def _any(some: set) -> Column:
     return reduce(lambda a, b: a | b, [*([F.col("trigram").isin(grams)] if grams else []), *(_of(x) for x in sorted(some - {*grams}, key=str))])
 
 
-def measured(dictionary: DataFrame, tree: Tree) -> dict[str | Start, int]:
-    """Rows of postings of each leaf that has some; rows of one trigram (of several segments) add up. A row for each trigram asked for, and a number for each beginning, come to the driver."""
+def measured(dictionary: DataFrame, tree: Tree) -> dict[str, dict[str | Start, int]]:
+    """By segment, rows of postings of each leaf that has some there. A row for each trigram asked for, and a number for each beginning, come to the driver of each segment.
+
+    dictionary: trigram, num_files, segment (without that column it is one segment).
+    """
+    if "segment" not in dictionary.columns:
+        dictionary = dictionary.withColumn("segment", F.lit(""))
     starts = sorted((x for x in leaves(tree) if isinstance(x, Start)), key=str)
     grams = leaves(tree) - {*starts}
-    out = {}
+    out: dict[str, dict] = {}
     if grams:
-        out = {r.trigram: r.n for r in dictionary.where(_any(grams)).groupBy("trigram").agg(F.sum("num_files").alias("n")).collect()}
+        for r in dictionary.where(_any(grams)).groupBy("segment", "trigram").agg(F.sum("num_files").alias("n")).collect():
+            out.setdefault(r.segment, {})[r.trigram] = r.n
     if starts:
-        sums = dictionary.where(_any({*starts})).agg(*[F.sum(F.when(_of(x), F.col("num_files"))) for x in starts]).first()
-        out |= {x: n for x, n in zip(starts, sums, strict=True) if n}
+        for segment, *sums in dictionary.where(_any({*starts})).groupBy("segment").agg(*[F.sum(F.when(_of(x), F.col("num_files"))) for x in starts]).collect():
+            out.setdefault(segment, {}).update({x: n for x, n in zip(starts, sums, strict=True) if n})
+    return out
+
+
+def summed(by_segment: dict[str, dict]) -> dict[str | Start, int]:
+    out: dict = {}
+    for counts in by_segment.values():
+        for leaf, n in counts.items():
+            out[leaf] = out.get(leaf, 0) + n
     return out
 
 
+def opened(tree: Tree, by_segment: dict[str, dict]) -> list[str]:
+    """The segments in which some row may pass the tree: the others are read neither for their lists nor for their rows."""
+    return sorted(s for s, counts in by_segment.items() if holds(tree, {*counts}))
+
+
 def candidates(postings: DataFrame, tree: Tree) -> DataFrame:
     """file_id of the files for which the tree holds: one pass over its lists, one aggregate with a bit for each leaf."""
     some = sorted(leaves(tree), key=str)

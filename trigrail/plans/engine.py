@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trigrail import schema as S
 from trigrail.operators import catalog, ranking
 from trigrail.plans import boolean, choice
-from trigrail.plans.search import Query, exact, planned, search, trees
+from trigrail.plans.search import Query, exact, search, trees
 from trigrail.sources import filesystem, segments, snapshots
 from trigrail.streaming import changes
 
@@ -44,25 +44,31 @@ class Engine:
         n, top = files.agg(F.count("*"), F.max("id")).first()
         self.store.commit(base, self.store.add(files, n), {}, 0 if top is None else top + 1, base.notes)
 
-    def _planned(self, state: segments.State, query: Query) -> choice.Choice:
-        lengths = self.store.read(f"{self._index(query)}_lengths", state.segments)
-        return planned(self.spark, query, lengths, state.n_files, self.scan_below, tails=True)
+    def _planned(self, state: segments.State, query: Query) -> tuple[choice.Choice, list[str]]:
+        """How to search, and in which segments: those without what every match needs aren't opened."""
+        tree, every = trees(self.spark, query, tails=True), sorted(state.segments)
+        if tree in (boolean.ANY, boolean.NONE) or state.n_files < self.scan_below:
+            return choice.choose(tree) if tree == boolean.NONE else choice.Choice("scan", tree), every
+        lengths = choice.measured(self.store.read(f"{self._index(query)}_lengths", every), tree)
+        names = choice.opened(tree, lengths)
+        counts = choice.summed({n: lengths[n] for n in names})
+        return choice.choose(tree, counts, sum(state.segments[n] for n in names)), names
 
     @staticmethod
     def _index(query: Query) -> str:
         return "postings_folded" if query.ignore_case else "postings"
 
-    def explain(self, query: Query) -> choice.Choice:
-        """Whether a search scans or reads lists, which, and how many rows at most."""
+    def explain(self, query: Query) -> tuple[choice.Choice, list[str]]:
+        """Whether a search scans or reads lists, which, and how many rows at most; and the segments that it opens."""
         return self._planned(self.store.state(), query)
 
     def search(self, query: Query, use_index: bool = True) -> DataFrame:
         """(id, path) of the readable matches. Lists of deleted rows are read too: their files are not in the catalog."""
         state = self.store.state()
-        files = self.store.files(state)
         if not use_index:
-            return search(files, query)
-        return search(files, query, self.store.read(self._index(query), state.segments), self._planned(state, query))
+            return search(self.store.files(state), query)
+        how, names = self._planned(state, query)
+        return search(self.store.files(state, names), query, self.store.read(self._index(query), names), how)
 
     def results(self, found: DataFrame) -> DataFrame:
         """Full catalog rows of found (id)."""
@@ -80,8 +86,7 @@ class Engine:
         state, tree = self.store.state(), trees(self.spark, query, tails=True)
         if tree == boolean.ANY:
             return True
-        known = choice.measured(self.store.read(f"{self._index(query)}_lengths", state.segments), tree)
-        return boolean.holds(tree, {*known})
+        return bool(choice.opened(tree, choice.measured(self.store.read(f"{self._index(query)}_lengths", state.segments), tree)))
 
     def apply(self, batch: DataFrame, stream: str = "", number: int = -1) -> None:
         """Merges change records into a new version, at once or, if this fails, not at all.

@@ -64,7 +64,7 @@ def planned(spark: SparkSession, query: Query, dictionary: DataFrame | None = No
         return choice.choose(tree)
     if n_files < scan_below:
         return choice.Choice("scan", tree)
-    return choice.choose(tree, choice.measured(dictionary, tree), n_files)
+    return choice.choose(tree, choice.summed(choice.measured(dictionary, tree)), n_files)
 
 
 def search(files: DataFrame, query: Query, postings: DataFrame | None = None, how: choice.Choice | None = None) -> DataFrame:

@@ -411,11 +411,11 @@ def compaction(spark, sf_dir):
 def scan_tree(spark, sf_dir):
     """Paths below the root of a scanned tree, which has a file for each page (tasks make it in the shared folder)."""
     root = _tree(spark)
-    _touch(views.table(spark, sf_dir, "pages").select(_PAGE_FILE), root)
+    _touch(views.table(spark, sf_dir, "pages").selectExpr(_PAGE_FILE), root)
     return _below(filesystem.scan(spark, root), root)
 
 
-_PAGE_FILE = F.expr("concat('d', page_id % 7, '/p', page_id, '.html') AS name")
+_PAGE_FILE = "concat('d', page_id % 7, '/p', page_id, '.html') AS name"
 
 
 def _tree(spark: SparkSession) -> str:
@@ -448,10 +448,10 @@ def tree_changes(spark, sf_dir):
     def follow() -> None:
         engine.follow(watch.changes_of(spark, root, f"{place}/listings", tasks="3"), f"{place}/checkpoint", once=True).awaitTermination()
 
-    _touch(pages.select(_PAGE_FILE), root)
+    _touch(pages.selectExpr(_PAGE_FILE), root)
     follow()
-    _touch(pages.where("page_id % 3 = 0 OR page_id % 5 = 1").select(_PAGE_FILE), root, there=False)
-    _touch(pages.where("page_id % 3 <> 0 AND page_id % 5 = 1").select(F.expr("concat('new/p', page_id, '.html') AS name")), root)
+    _touch(pages.where("page_id % 3 = 0 OR page_id % 5 = 1").selectExpr(_PAGE_FILE), root, there=False)
+    _touch(pages.where("page_id % 3 <> 0 AND page_id % 5 = 1").selectExpr("concat('new/p', page_id, '.html') AS name"), root)
     follow()
     return _below(engine.table("files"), root)
 
