@@ -195,12 +195,12 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, cell: int = C
     reps = store.written(classes.select("id", "weight").join(valid.withColumnRenamed("vec_id", "id"), "id").select("id", "label", "vector", "weight"), "reps")
     cells = store.written(reps.select("id", "label", "vector").mapInArrow(tx.lean(_cells(tables, lines, kind)), "id long, label string, table int, cell binary"), "cells")
     full = cells.groupBy("label", "table", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = cells.join(full, ["label", "table", "cell"]).withColumn("s", F.ceil(F.col("n") * 2 / cell).cast("int"))
-    dealt = dealt.withColumn("s", F.when(F.col("n") <= cell, 1).otherwise(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    full = full.select("label", "table", "cell", F.when(F.col("n") <= cell, 1).otherwise(F.ceil(F.col("n") * 2 / cell)).cast("int").alias("s"), "n")
+    dealt = cells.join(full, ["label", "table", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     tile = F.xxhash64("label", "table", "cell", F.least("block", "j"), F.greatest("block", "j"))
     dealt = dealt.select("id", "table", "block", (F.col("block") != F.col("j")).alias("cross"), tile.alias("tile"))
-    shares = max(24, cells.count() // 20_000 + 1)
+    shares = max(24, (full.agg(F.sum(F.col("n") * F.col("s"))).first()[0] or 0) // 20_000 + 1)  # rows of blocks, copies counted
     dealt = dealt.join(reps.select("id", "weight", "vector"), "id").withColumn("share", F.pmod(F.col("tile"), F.lit(shares)))
     met = dealt.groupBy("share").applyInArrow(tx.lean(_meet(tables, lines, cosine, kind)), MET)
     met = store.written(met, "met")
