@@ -18,12 +18,12 @@ HOT, SALT = 1000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own for local sessions."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only local sessions, which share all, may have one of our own instead."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"file://{_own()}"
 
 
