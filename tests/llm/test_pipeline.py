@@ -80,5 +80,5 @@ def test_empty_tables(spark, folder):
 
 def test_registry():
     names = [*registry.queries(), *cp.queries()]
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
     assert registry.oracle_sql().keys() <= registry.queries().keys()
