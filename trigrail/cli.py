@@ -28,6 +28,7 @@ def parser() -> Parser:
     p.add_argument("-d", "--database", metavar="DBPATH", default=os.path.expanduser("~/.trigrail"), help="folder of the database")
     p.add_argument("-i", "--ignore-case", action="store_true", help="ignore case distinctions")
     p.add_argument("-r", "--regexp", action="store_true", help="patterns are regular expressions")
+    p.add_argument("-p", "--parents", action="store_true", help="leave out what lies below folders that you may not enter")
     p.add_argument("-u", "--update", action="store_true", help="scan the file system and rebuild the database; patterns are then not searched")
     p.add_argument("--root", default="/", help="where an update scans")
     p.add_argument("-v", "--version", action="version", version=__version__)
@@ -44,10 +45,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(e.code or 0)
     engine = Engine(spark or session(), a.database)
     if a.update:
-        engine.update(a.root)
+        engine.update(a.root, include_folders=str(a.parents))
         print("Database updated.")
         return 0
-    found = engine.search(Query(tuple(a.patterns), a.ignore_case, a.regexp, os.getuid(), os.getgid())).collect()  # at most the limit
+    found = engine.search(Query(tuple(a.patterns), a.ignore_case, a.regexp, os.getuid(), os.getgid(), parents=a.parents)).collect()  # at most the limit
     if found:
         print(f"Found {len(found)} results:")
         for r in found:

@@ -19,6 +19,13 @@ def readable(mode: Column, owner: Column, group: Column, uid: int, gid: int) ->
     return _bit(mode, S.OTHER_READ) | ((owner == uid) & _bit(mode, S.OWNER_READ)) | ((group == gid) & _bit(mode, S.GROUP_READ))
 
 
+def enterable(mode: Column, owner: Column, group: Column, uid: int, gid: int) -> Column:
+    """The same of the right to enter a folder."""
+    if uid == 0:
+        return F.lit(True)
+    return _bit(mode, S.OTHER_ENTER) | ((owner == uid) & _bit(mode, S.OWNER_ENTER)) | ((group == gid) & _bit(mode, S.GROUP_ENTER))
+
+
 def readable_packed(packed: Column, uid: int, gid: int) -> Column:
     """The same where one number holds all: the owner in bits 16 and up, the group in bits 8 to 15, modes in the low bits."""
     return readable(packed, F.shiftrightunsigned(packed, 16), F.shiftrightunsigned(packed, 8).bitwiseAND(255), uid, gid)

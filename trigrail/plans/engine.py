@@ -68,7 +68,7 @@ class Engine:
         if not use_index:
             return search(self.store.files(state), query)
         how, names = self._planned(state, query)
-        return search(self.store.files(state, names), query, self.store.read(self._index(query), names), how)
+        return search(self.store.files(state, names), query, self.store.read(self._index(query), names), how, self.store.files(state))
 
     def results(self, found: DataFrame) -> DataFrame:
         """Full catalog rows of found (id)."""

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from trigrail import schema as S
 from trigrail.functions import text
+from trigrail.operators.ancestors import reachable
 from trigrail.operators.permissions import readable
 from trigrail.plans import boolean, choice
 
 
 @dataclass(frozen=True)
 class Query:
-    """What to look for. Several patterns are alternatives; an empty one matches every path."""
+    """What to look for. Several patterns are alternatives; an empty one matches every path. parents: all folders above a match, as far as the catalog has them, must be open to the user."""
 
     patterns: tuple[str, ...]
     ignore_case: bool = False
@@ -24,6 +25,7 @@ class Query:
     uid: int = 0
     gid: int = 0
     limit: int | None = S.MAX_RESULTS
+    parents: bool = False
 
 
 def matches(path: Column, pattern: str, ignore_case: bool = False, regex: bool = False) -> Column:
@@ -67,11 +69,12 @@ def planned(spark: SparkSession, query: Query, dictionary: DataFrame | None = No
     return choice.choose(tree, choice.summed(choice.measured(dictionary, tree)), n_files)
 
 
-def search(files: DataFrame, query: Query, postings: DataFrame | None = None, how: choice.Choice | None = None) -> DataFrame:
+def search(files: DataFrame, query: Query, postings: DataFrame | None = None, how: choice.Choice | None = None, folders: DataFrame | None = None) -> DataFrame:
     """Matching, readable files (id, path), in the order of id if there is a limit.
 
     postings: of the paths, folded if the query ignores case; without them, or for patterns without
     trigrams, all files are tested. how: from planned(), else all lists of the patterns are read.
+    folders: the catalog in which folders above matches are looked up, if files is only a part of it.
     """
     tests = [matches(F.col("path"), p, query.ignore_case, query.regex) for p in query.patterns]
     if not tests:
@@ -87,6 +90,8 @@ def search(files: DataFrame, query: Query, postings: DataFrame | None = None, ho
     if query.uid != 0:
         rows = rows.where(readable(F.col("permissions"), F.col("uid"), F.col("gid"), query.uid, query.gid))
     rows = rows.select("id", "path")
+    if query.parents:
+        rows = reachable(rows, files if folders is None else folders, query.uid, query.gid)
     return rows.orderBy("id").limit(query.limit) if query.limit is not None else rows
 
 

@@ -374,6 +374,22 @@ def engine_apply_search(spark, sf_dir):
     return engine.search(Query(("example.org", "/f1"), limit=None)).select("path")
 
 
+_ENTERED = "permissions & 1 <> 0 OR (uid = 1002 AND permissions & 64 <> 0) OR (gid = 101 AND permissions & 8 <> 0)"
+
+
+@_query(f"""SELECT id, path FROM (SELECT min(seq) AS id, path, wd FROM changes GROUP BY path, wd) JOIN
+(SELECT DISTINCT wd, CAST(16384 + wd * 37 % 512 AS INT) AS permissions, 1000 + wd % 5 AS uid, 100 + wd % 3 AS gid FROM changes) USING (wd) WHERE contains(path, '/f1') AND ({_ENTERED})""")
+def search_reachable(spark, sf_dir):
+    """Files of the change records below folders that a user may enter; a database is searched that has files and folders."""
+    rows, n = views.changes(spark, sf_dir), F.col("wd")
+    leaf = rows.groupBy("path").agg(F.min("seq").alias("id"), F.lit(0o100644).alias("permissions"), F.lit(0).alias("uid"), F.lit(0).alias("gid"))
+    kind = {"id": -1 - n, "path": F.concat(F.lit("/u"), n.cast("string")), "permissions": (n * 37 % 512 + S.FOLDER).cast("int"), "uid": (1000 + n % 5).cast("int"), "gid": (100 + n % 3).cast("int")}
+    folders = rows.select("wd").distinct().select(*[c.alias(k) for k, c in kind.items()])
+    engine = Engine(spark, f"{snapshots_folder(spark)}/database", scan_below=0)
+    engine.build(leaf.select(*kind).unionByName(folders).withColumn("modified", F.lit(None).cast("timestamp")))
+    return engine.search(Query(("/f1",), uid=1002, gid=101, limit=None, parents=True))
+
+
 def _changed(spark, sf_dir, batches: int = 5) -> Engine:
     """A database of the pages that so many batches of the change records have changed."""
     engine = Engine(spark, f"{snapshots_folder(spark)}/database", scan_below=0)

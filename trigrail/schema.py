@@ -20,8 +20,9 @@ CHANGES = T.StructType([
 ])
 
 #: Mode bits of POSIX. Fixed values.
-KIND_MASK, REGULAR, SYMLINK = 0xF000, 0x8000, 0xA000
+KIND_MASK, REGULAR, SYMLINK, FOLDER = 0xF000, 0x8000, 0xA000, 0x4000
 OWNER_READ, GROUP_READ, OTHER_READ = 0o400, 0o040, 0o004
+OWNER_ENTER, GROUP_ENTER, OTHER_ENTER = 0o100, 0o010, 0o001
 
 TRIGRAM = 3
 #: Defaults of limits. Fixed values.

@@ -19,8 +19,8 @@ from trigrail import schema as S
 log = logging.getLogger(__name__)
 
 
-def found(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True) -> Iterator[tuple[str, os.stat_result]]:
-    """Regular files (and symbolic links) below folder. Links are not followed; folders that can't be read, are missing or lie deeper than most are skipped, and names that aren't UTF-8."""
+def found(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True, folders: bool = False) -> Iterator[tuple[str, os.stat_result]]:
+    """Regular files (and symbolic links, and folders) below folder. Links are not followed; folders that can't be read, are missing or lie deeper than most are skipped, and names that aren't UTF-8."""
     try:
         with os.scandir(folder) as listed:
             some = sorted(listed, key=lambda e: e.name)
@@ -37,17 +37,19 @@ def found(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: b
             log.warning("skipped %r: %s", e.path, why)
             continue
         if stat.S_ISDIR(s.st_mode):
+            if folders:
+                yield e.path, s
             if deep and depth >= most:
                 log.warning("skipped the folder %s: deeper than %d", e.path, most)
             elif deep:
-                yield from found(e.path, depth + 1, most, hidden, links)
+                yield from found(e.path, depth + 1, most, hidden, links, folders=folders)
         elif stat.S_ISREG(s.st_mode) or (links and stat.S_ISLNK(s.st_mode)):
             yield e.path, s
 
 
-def entries(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True) -> Iterator[tuple]:
+def entries(folder: str, depth: int, most: int, hidden: bool, links: bool, deep: bool = True, folders: bool = False) -> Iterator[tuple]:
     """Rows for what found() finds."""
-    for path, s in found(folder, depth, most, hidden, links, deep):
+    for path, s in found(folder, depth, most, hidden, links, deep, folders):
         yield path, s.st_mode, s.st_uid, s.st_gid, datetime.fromtimestamp(int(s.st_mtime), UTC)
 
 
@@ -61,6 +63,7 @@ class TreeReader(DataSourceReader):
         self.root = os.path.realpath(options["path"])
         flag = lambda k: options.get(k, "true").lower() == "true"
         self.hidden, self.links = flag("include_hidden"), flag("include_symlinks")
+        self.folders = options.get("include_folders", "false").lower() == "true"
         self.most, self.tasks = int(options.get("max_depth", S.MAX_DEPTH)), int(options.get("tasks", 64))
 
     def partitions(self) -> list[Subtree]:
@@ -81,11 +84,11 @@ class TreeReader(DataSourceReader):
         return [*opened, *(Subtree(p, depth, True) for p in below if depth <= self.most)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        yield from entries(partition.folder, partition.depth, self.most, self.hidden, self.links, partition.deep)
+        yield from entries(partition.folder, partition.depth, self.most, self.hidden, self.links, partition.deep, self.folders)
 
 
 class FileTree(DataSource):
-    """format("filetree"): options path, include_hidden, include_symlinks, max_depth, tasks."""
+    """format("filetree"): options path, include_hidden, include_symlinks, include_folders (no), max_depth, tasks."""
 
     @classmethod
     def name(cls) -> str:
