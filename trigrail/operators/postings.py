@@ -31,9 +31,9 @@ def tails(files: DataFrame, fold_case: bool = False) -> DataFrame:
     return rows.where(F.length("trigram") > 0)
 
 
-def laid_out(rows: DataFrame) -> DataFrame:
-    """Postings sorted by trigram, so that scans skip row groups; a trigram of very many files is dealt to several tasks."""
-    return rows.repartitionByRange("trigram", "file_id").sortWithinPartitions("trigram", "file_id")
+def laid_out(rows: DataFrame, key: str = "file_id") -> DataFrame:
+    """Postings (or blocks of them, by the key block) sorted by trigram, so that scans skip row groups; a trigram of very many files is dealt to several tasks."""
+    return rows.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key)
 
 
 def dictionary(postings: DataFrame) -> DataFrame:

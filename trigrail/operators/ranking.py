@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -21,13 +21,17 @@ def tfidf(files: DataFrame, postings: DataFrame, pattern: str) -> DataFrame:
 
     Sum of freq / (length - 2) * ln((N + 1) / (num_files + 1)), over the root of the length.
     """
-    grams = literal_trigrams(pattern)
-    rows = postings.where(F.col("trigram").isin(grams))
+    rows = postings.where(F.col("trigram").isin(literal_trigrams(pattern)))
     df = rows.groupBy("trigram").agg(F.count("*").alias("num_files"))  # at most one row for each of the query's trigrams
     n = files.agg(F.count("*").alias("n"))  # one row
+    return scores(files.join(F.broadcast(n)), rows, df, F.col("n"))
+
+
+def scores(files: DataFrame, rows: DataFrame, df: DataFrame, n: Column) -> DataFrame:
+    """The scores of tfidf from postings of the query's trigrams, all those of each file that has any. df: trigram, num_files, a row a trigram; n: files of the catalog."""
     length = F.length("path").cast("double")
-    term = F.sum(F.col("freq") / (length - 2) * F.ln((F.col("n") + 1) / (F.col("num_files") + 1)))
-    each = rows.join(F.broadcast(df), "trigram").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").join(F.broadcast(n))
+    term = F.sum(F.col("freq") / (length - 2) * F.ln((n + 1) / (F.col("num_files") + 1)))
+    each = rows.join(F.broadcast(df), "trigram").join(files.withColumnRenamed("id", "file_id"), "file_id")
     return each.groupBy("file_id", length.alias("length")).agg(term.alias("total")).select("file_id", F.round(F.col("total") / F.sqrt("length"), 8).alias("score"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trigrail import schema as S
 from trigrail import views
 from trigrail.functions import text
-from trigrail.operators import catalog, longtext, membership, permissions, postings, ranking
+from trigrail.operators import blocks, catalog, longtext, membership, paths, permissions, postings, ranking
 from trigrail.plans.engine import Engine
 from trigrail.plans.search import Query, all_of, any_of, exact, matches, search
 from trigrail.sources import filesystem, snapshots
@@ -142,6 +142,32 @@ def posting_codec_stats(spark, sf_dir):
     return postings.codec_stats(postings.gaps(_index(spark, sf_dir)))
 
 
+def _stored(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
+    folder = f"{snapshots_folder(spark)}/{name}"
+    snapshots.save(table, folder)
+    return snapshots.load(spark, folder)
+
+
+def _packed(spark, sf_dir) -> DataFrame:
+    """The index in blocks, as it is written."""
+    return _stored(spark, postings.laid_out(blocks.packed(_index(spark, sf_dir)), "block"), "blocks")
+
+
+@_query("SELECT trigram, file_id, freq FROM postings")
+def packed_postings(spark, sf_dir):
+    return blocks.unpacked(_packed(spark, sf_dir))
+
+
+ALL_OF = ("example.org", "/en/", "utm_source=", "https://www", "zzzz", "1.html")
+
+
+@_query("SELECT pattern, file_id FROM (SELECT pattern, list_distinct(list_transform(range(1, length(pattern) - 1), lambda i: substring(pattern, i, 3))) AS asked FROM (SELECT unnest([" + _listed(ALL_OF) + "]) AS pattern)) JOIN postings ON list_contains(asked, trigram) GROUP BY pattern, file_id, asked HAVING count(*) = len(asked)")
+def packed_candidates(spark, sf_dir):
+    """Files with all trigrams of each string: one list is decoded whole, of the others what could hold one of its ids."""
+    index = _packed(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [blocks.all_of(index, text.literal_trigrams(p)).select(F.lit(p).alias("pattern"), "file_id") for p in ALL_OF])
+
+
 def _each(spark, sf_dir, patterns, ignore_case=False, regex=False) -> DataFrame:
     """Matches of each pattern, found through the written index where it helps."""
     files = views.files(spark, sf_dir)
@@ -277,6 +303,13 @@ def relevance_topk(spark, sf_dir):
     return ranking.best(_tfidf(spark, sf_dir), 10)
 
 
+@_query(f"SELECT file_id, score FROM {_TFIDF} ORDER BY score DESC, file_id LIMIT 10")
+def packed_topk(spark, sf_dir):
+    """The same from packed lists, of which only regions that could hold one of the best are decoded."""
+    files = views.files(spark, sf_dir)
+    return blocks.best(files, _packed(spark, sf_dir), _stored(spark, blocks.bounds(files), "bounds"), PATTERN, 10)
+
+
 @_query(f"SELECT file_id, score FROM {_TFIDF} WHERE score >= 0.02")
 def relevance_threshold(spark, sf_dir):
     return ranking.above(_tfidf(spark, sf_dir), 0.02)
@@ -501,6 +534,27 @@ def persist_roundtrip(spark, sf_dir):
     return snapshots.load(spark, folder)
 
 
+def _sorted_paths(spark, files: DataFrame) -> DataFrame:
+    return _stored(spark, paths.packed(files), "paths")
+
+
+@_query("SELECT id, path FROM files")
+def path_dictionary(spark, sf_dir):
+    return paths.unpacked(_sorted_paths(spark, views.files(spark, sf_dir)))
+
+
+UNDER = ("/u1", "/u12/", "/u7", "/none", "/")
+
+
+@_query(f"SELECT folder, id, path FROM (SELECT min(seq) AS id, path FROM changes GROUP BY path), (SELECT unnest([{_listed(UNDER)}]) AS folder) WHERE starts_with(path, rtrim(folder, '/') || '/') UNION ALL SELECT '=', min(seq), path FROM changes WHERE path = (SELECT max(path) FROM changes) GROUP BY path")
+def under_folder(spark, sf_dir):
+    """What is below each folder, and one path looked up, from the blocks of the sorted paths that hold it."""
+    rows = views.changes(spark, sf_dir).groupBy("path").agg(F.min("seq").alias("id"))
+    table = _sorted_paths(spark, rows)
+    last = paths.exact(table, table.agg(F.max("last")).first()[0]).withColumn("folder", F.lit("="))
+    return reduce(DataFrame.unionByName, [paths.under(table, f).withColumn("folder", F.lit(f)) for f in UNDER], last)
+
+
 @_query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'blue') OR regexp_matches(p_name, '^[a-m].* .*$')")
 def search_parts(spark, sf_dir):
     """Other short strings: part names, of which many are equal."""
