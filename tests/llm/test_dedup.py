@@ -218,6 +218,16 @@ def test_embeddings(spark, cell):
     assert embedding_dedup.near_duplicates(table.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_are_not_broadcast(spark):
+    """What grows with the vectors stays off the driver: no join broadcasts a side, however few the vectors are."""
+    table = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int")
+    done = spark._jsparkSession.sharedState().statusStore()
+    seen = done.executionsCount()
+    embedding_dedup.near_duplicates(table).collect()
+    ran = [done.executionsList().apply(k).physicalPlanDescription() for k in range(seen, done.executionsCount())]
+    assert any("SortMergeJoin" in plan for plan in ran) and not any("BroadcastHashJoin" in plan for plan in ran)
+
+
 def test_needed_collisions_keep_recall():
     for tables, lines in map(embedding_dedup.tables_for, (10, 1000, 10**6, 10**9)):
         assert 0 < embedding_dedup.needed(tables * lines) <= tables * lines

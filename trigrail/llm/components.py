@@ -14,10 +14,10 @@ def _pulled(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         near = edges.union(back)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return near.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a")
+    moved = down.join(least.hint("merge"), "a")
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges do no harm; nulls are left out. The rounds grow as the logarithm of the
     longest path; every round's edges are at most those of the last. A hub's edges meet its one row of
-    least neighbours in a join, which adaptive execution can split.
+    least neighbours in a merge join, which adaptive execution can split and never broadcasts.
     """
     now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = store.written(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")

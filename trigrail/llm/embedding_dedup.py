@@ -11,6 +11,8 @@ label, and the number of tables follows from the recall that LOSS asks of a pair
 
 Equal vectors form a class with one representative and a weight. A cell of more than CELL of these is
 dealt out in blocks, every two of which meet. Tasks return what each vector gathers, never pairs.
+
+Tables that grow with the vectors are joined by merging: the size of a compressed scratch table says little of what the driver would hold to broadcast it.
 """
 
 from __future__ import annotations
@@ -192,22 +194,22 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, cell: int = C
     classes = store.written(member.groupBy("digest", "label").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     tables, lines = tables_for(most, cosine)
-    reps = store.written(classes.select("id", "weight").join(valid.withColumnRenamed("vec_id", "id"), "id").select("id", "label", "vector", "weight"), "reps")
+    reps = store.written(classes.select("id", "weight").join(valid.withColumnRenamed("vec_id", "id").hint("merge"), "id").select("id", "label", "vector", "weight"), "reps")
     cells = store.written(reps.select("id", "label", "vector").mapInArrow(tx.lean(_cells(tables, lines, kind)), "id long, label string, table int, cell binary"), "cells")
     full = cells.groupBy("label", "table", "cell").agg(F.count("*").alias("n")).where("n > 1")
     full = full.select("label", "table", "cell", F.when(F.col("n") <= cell, 1).otherwise(F.ceil(F.col("n") * 2 / cell)).cast("int").alias("s"), "n")
-    dealt = cells.join(full, ["label", "table", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    dealt = cells.join(full.hint("merge"), ["label", "table", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     tile = F.xxhash64("label", "table", "cell", F.least("block", "j"), F.greatest("block", "j"))
     dealt = dealt.select("id", "table", "block", (F.col("block") != F.col("j")).alias("cross"), tile.alias("tile"))
     shares = max(24, (full.agg(F.sum(F.col("n") * F.col("s"))).first()[0] or 0) // 20_000 + 1)  # rows of blocks, copies counted
-    dealt = dealt.join(reps.select("id", "weight", "vector"), "id").withColumn("share", F.pmod(F.col("tile"), F.lit(shares)))
+    dealt = dealt.join(reps.select("id", "weight", "vector").hint("merge"), "id").withColumn("share", F.pmod(F.col("tile"), F.lit(shares)))
     met = dealt.groupBy("share").applyInArrow(tx.lean(_meet(tables, lines, cosine, kind)), MET)
     met = store.written(met, "met")
     parts = components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
-    to = classes.join(links, "id", "left").join(parts, "id", "left")
+    to = classes.join(links.hint("merge"), "id", "left").join(parts.hint("merge"), "id", "left")
     to = to.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("c"))
-    out = rows.select("vec_id").join(store.spread_join(member, to, ["digest"], "vec_id").select("vec_id", "links", "c"), "vec_id", "left")
+    out = rows.select("vec_id").join(store.spread_join(member, to, ["digest"], "vec_id").select("vec_id", "links", "c").hint("merge"), "vec_id", "left")
     own = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept"))

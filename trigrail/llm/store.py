@@ -74,17 +74,17 @@ def sized(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
 def spread_join(rows: DataFrame, keyed_by: DataFrame, on: list[str], salt: str, how: str = "inner") -> DataFrame:
     """rows joined to a table with one row for each value of on; a value that many rows have is dealt to SALT tasks.
 
-    Which values these are is counted first (HOT rows and more, so at most one in HOT of the rows); only their rows of keyed_by are repeated. salt: a column of rows that tells them apart.
+    Which values these are is counted first (HOT rows and more, so at most one in HOT of the rows); only their rows of keyed_by are repeated. Only these values are broadcast, once counted. salt: a column of rows that tells them apart.
     """
     hot = written(rows.groupBy(*on).count().where(F.col("count") >= HOT).select(*on, F.lit(True).alias("_hot")), "hot-keys")
     if hot.isEmpty():
-        return rows.join(keyed_by, on, how)
+        return rows.join(keyed_by.hint("merge"), on, how)
     few = sized(hot)
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SALT))).otherwise(F.lit(0).cast("long"))
     dealt = rows.join(few, on, "left").withColumn("_part", part).drop("_hot")
     parts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
     copied = keyed_by.join(few, on, "left").withColumn("_part", parts).drop("_hot")
-    return dealt.join(copied, [*on, "_part"], how).drop("_part")
+    return dealt.join(copied.hint("merge"), [*on, "_part"], how).drop("_part")
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
