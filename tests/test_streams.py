@@ -96,6 +96,28 @@ def test_records_in_any_order_end_as_the_log(spark, tmp_path):
     assert {(r.path, r.permissions) for r in snapshots.load(spark, place).collect()} == want
 
 
+def test_only_news_goes_on_and_a_batch_is_worked_off_once(spark, tmp_path):
+    """Repeated and overtaken records don't go on; a merge of a batch reads its source once, by tasks of the JVM alone."""
+    batches = [[(1, "create", "/a", 1, None), (5, "modify", "/b", 1, None)], [(1, "create", "/a", 1, None), (4, "delete", "/b", 1, None), (7, "attrib", "/a", 1, None)], [(6, "delete", "/b", 1, None), (2, "modify", "/a", 2, None), (2, "modify", "/a", 2, None)]]
+    place, got, read = f"{tmp_path}/files", [], spark.sparkContext.accumulator(0)
+    os.makedirs(tmp_path / "in")
+    snapshots.save(spark.createDataFrame([(0, "/a", 1, 1, 1, None)], S.FILES), place)
+    news = state.latest(changes.read(spark, f"{tmp_path}/in", 100))
+
+    def merge(batch, _):
+        counted = batch.mapInArrow(lambda them: (read.add(b.num_rows) or b for b in them), batch.schema)
+        snapshots.save(changes.applied(snapshots.load(spark, place), counted), place)
+        got.append(sorted((r.path, r.seq, r.action) for r in batch.collect()))
+
+    for rows in batches:
+        spark.createDataFrame(rows, S.CHANGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = changes.follow(news, merge, f"{tmp_path}/c", once=True)
+        query.awaitTermination()
+        assert "Python" not in query._jsq.explainInternal(False)
+    assert got == [[("/a", 1, "upsert"), ("/b", 5, "upsert")], [], [("/a", 2, "upsert"), ("/b", 6, "delete")]]
+    assert read.value == 4
+
+
 def test_halves_of_moves_find_each_other(spark, tmp_path):
     kind = "seq long, op string, path string, cookie long"
     batches = [[(1, "moved_from", "/a", 7), (2, "moved_to", "/x", 8), (3, "create", "/c", 7)], [(4, "moved_to", "/b", 7), (1, "moved_from", "/a", 7), (5, "moved_from", "/gone", 9), (6, "moved_to", "/n", None)], [(4, "moved_to", "/b", 7)]]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trigrail import schema as S
 from trigrail.functions import text
 from trigrail.operators.catalog import dense_ids
+from trigrail.sources.snapshots import held
 
 
 def read(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -41,20 +42,21 @@ def last(changes: DataFrame) -> DataFrame:
 def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     """The catalog after the changes. Paths keep their ids; new ones get ids above all old ones, in the order of paths.
 
-    Records may lack uid and gid: a known file keeps its own. Not lazy: new paths are numbered by jobs that run while the plan is made.
+    Records may lack uid and gid: a known file keeps its own. Not lazy: new paths are numbered by jobs that run while the plan is made, and the
+    last records are checkpointed, so that a micro-batch, with its state, is worked off once. Both sides may be large: joins merge.
     """
     if "action" not in changes.columns:
         changes = classified(changes)
-    final = last(changes)
+    final = held(last(changes))
     new = {c: F.col(f"n.{c}") if c in final.columns else F.lit(None) for c in ("permissions", "uid", "gid", "modified")}
     upserts = final.where("action = 'upsert'").alias("n")
-    known = upserts.join(files.alias("o"), F.col("n.path") == F.col("o.path"))
+    known = upserts.join(files.alias("o").hint("merge"), F.col("n.path") == F.col("o.path"))
     changed = known.select("o.id", "o.path", *[F.coalesce(c, F.col(f"o.{k}")).cast(S.FILES[k].dataType).alias(k) for k, c in new.items()])
-    unseen = upserts.join(files.select("path"), "path", "left_anti").select("path", *[c.cast(S.FILES[k].dataType).alias(k) for k, c in new.items()])
+    unseen = upserts.join(files.select("path").hint("merge"), "path", "left_anti").select("path", *[c.cast(S.FILES[k].dataType).alias(k) for k, c in new.items()])
     top = files.agg(F.max("id")).first()[0]
     added = dense_ids(unseen, "path", 0 if top is None else top + 1)
     names = S.FILES.names
-    rest = files.join(final.select("path"), "path", "left_anti")
+    rest = files.join(final.select("path").hint("merge"), "path", "left_anti")
     return rest.select(*names).unionByName(changed.select(*names)).unionByName(added.select(*names))
 
 
@@ -66,7 +68,7 @@ def identity(spark: SparkSession, checkpoint: str) -> str:
 def follow(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 30, once: bool = False):
     """Starts a query that merges each micro-batch; its checkpoint makes every batch count once. once: it merges what there is, then ends."""
     when = {"availableNow": True} if once else {"processingTime": f"{seconds} seconds"}
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
+    return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def stop(query) -> None:

@@ -1,7 +1,7 @@
 """Keyed state of change streams: records that come late or twice, and the halves of moves.
 
-State is kept by Spark for each path and each move (transformWithState over RocksDB) and follows the query's checkpoint. Records may come in any order and
-any number of times: what goes on to the merge ends as the log in its order would.
+State is kept by Spark for each path (a streaming aggregate) and each move (transformWithState), in RocksDB, and follows the query's checkpoint. Records may come in
+any order and any number of times: what goes on to the merge ends as the log in its order would.
 """
 
 from __future__ import annotations
@@ -15,26 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from trigrail.streaming.changes import classified
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-RECORD = "path string, seq long, op string, action string, permissions int, modified timestamp"
 MOVE = "cookie long, seq long, from_path string, to_path string, whole boolean"
 
 
-class Latest(StatefulProcessor):
-    """A path's last seq: a record goes on if it is above that of all before it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        best = max(rows, key=lambda r: r.seq)
-        if not self.last.exists() or best.seq > self.last.get()[0]:
-            self.last.update((best.seq,))
-            yield Row(path=key[0], seq=best.seq, op=best.op, action=best.action, permissions=best.permissions, modified=best.modified)
-
-    def close(self) -> None:
-        pass
-
-
 def _keyed(rows: DataFrame, key: str):
     """rows by key; queries of this session then keep their state in RocksDB, which state of one's own needs."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -44,10 +27,14 @@ def _keyed(rows: DataFrame, key: str):
 def latest(changes: DataFrame) -> DataFrame:
     """Of a stream of change records, those that are news of their path: in a batch the last of each path, none that an earlier batch has overtaken or had.
 
-    Records without a path or seq, or with an operation that changes nothing, are left out.
+    Records without a path or seq, or with an operation that changes nothing, are left out. The state is each path's record of the greatest seq, of equal ones that
+    of the earliest batch, with the time of its batch (one for all its rows, the same if it is repeated): a record is news if it is of the present batch.
     """
     rows = classified(changes).where("action <> 'ignore' and path is not null and seq is not null")
-    return _keyed(rows, "path").transformWithState(Latest(), RECORD, "Update", "None")
+    now = F.unix_millis(F.current_timestamp())
+    rows = rows.withColumn("before", -now)
+    best = F.max(F.struct("seq", "before", "op", "action", "permissions", "modified")).alias("best")
+    return _keyed(rows, "path").agg(best).where(F.col("best.before") == -now).select("path", *[f"best.{c}" for c in ("seq", "op", "action", "permissions", "modified")])
 
 
 class Halves(StatefulProcessor):
