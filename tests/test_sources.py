@@ -304,3 +304,13 @@ def test_stream_equals_batch(spark, old, log, tmp_path):
 def test_resolved(spark):
     events = spark.createDataFrame([(1, "f"), (2, "g")], "wd int, name string")
     assert [r.path for r in changes.resolved(events, spark.createDataFrame([(1, "/d/")], "wd int, dir string")).collect()] == ["/d/f"]
+
+
+def test_postings_are_counted_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Files that lie in one partition are dealt out before their trigrams are counted: a task holds about PART postings."""
+    monkeypatch.setattr(segments, "PART", 1000)
+    seen, build = [], postings.build
+    monkeypatch.setattr(segments.postings, "build", lambda files, fold=False: seen.append(files.rdd.glom().map(len).collect()) or build(files, fold))
+    files = spark.createDataFrame([(k, f"/a/file{k}", 1, 1, 1, None) for k in range(200)], S.FILES).coalesce(1)
+    Engine(spark, f"{tmp_path}/db").build(files)
+    assert len(seen) == 2 and all(sum(sizes) == 200 and len(sizes) == 9 and max(sizes) <= 1000 / segments.LONG + 9 for sizes in seen)

@@ -86,15 +86,16 @@ class Store:
     def add(self, files: DataFrame, n: int, index: dict[str, DataFrame] | None = None) -> dict[str, int]:
         """Writes a segment of n catalog rows (held: they are read more than once) and their postings, sorted by trigram, so that scans skip row groups. {name: n}; nothing for no rows.
 
-        A list of very many files is dealt to several tasks.
+        A list of very many files is dealt to several tasks, and so are the files whose postings a task counts: it holds about PART of them, however few tasks hold the files.
         """
         if not n:
             return {}
         name = uuid.uuid4().hex[:16] + "s"
         rows = files.select(*S.FILES.names, F.shiftright("id", BLOCK).cast("int").alias("block"))
         self._put(rows, "files", name, n, "id", parts=("block",))
+        dealt = files.repartition(n * LONG // PART + 1)
         for table, fold in INDEXES:
-            self._put(index[table] if index else postings.build(files, fold).unionByName(postings.tails(files, fold)), table, name, n * LONG, "trigram", "file_id")
+            self._put(index[table] if index else postings.build(dealt, fold).unionByName(postings.tails(files, fold)), table, name, n * LONG, "trigram", "file_id")
             lists = self.read(table, [name]).groupBy("trigram").agg(F.count("*").alias("num_files"))
             self._put(lists, f"{table}_lengths", name, n, "trigram")
         return {name: n}
