@@ -31,6 +31,18 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), columns)
 
 
+def test_compaction_counts_a_path_once(spark, duck, tmp_path):
+    """Pages of which some share an address: num_files is of paths, num_occurrences of files."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    more = pages.where("page_id % 7 = 0").selectExpr("page_id + 1000 AS page_id", "url", "html")
+    pages.unionByName(more).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got, want = q.queries()["compaction"](spark, str(tmp_path)), con.execute(q.oracle_sql()["compaction"])
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

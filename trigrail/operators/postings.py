@@ -36,8 +36,16 @@ def laid_out(rows: DataFrame, key: str = "file_id") -> DataFrame:
     return rows.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key)
 
 
-def dictionary(postings: DataFrame) -> DataFrame:
-    """(trigram, num_files, num_occurrences)."""
+#: Most ids that are broadcast.
+FEW = 1_000_000
+
+
+def dictionary(postings: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """(trigram, num_files, num_occurrences). again (file_id, each once): files whose path another one has too, of which num_files counts only that other one."""
+    if again is not None:
+        few = F.broadcast(again) if again.count() <= FEW else again.hint("merge")
+        rows = postings.join(few.withColumn("again", F.lit(True)), "file_id", "left")
+        return rows.groupBy("trigram").agg(F.count_if(F.col("again").isNull()).alias("num_files"), F.sum("freq").alias("num_occurrences"))
     return postings.groupBy("trigram").agg(F.count("*").alias("num_files"), F.sum("freq").alias("num_occurrences"))
 
 
